@@ -73,7 +73,7 @@ def explode(texts: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarray
         flat.extend([words.setdefault(w, len(words)) for w in found])
 
     find = pattern.findall
-    for piece in encoded.dictionary.to_pylist():
+    for piece in encoded.dictionary.to_numpy(zero_copy_only=False).tolist():
         put([" " + piece] if piece.isalpha() else find(" " + piece))
     spaced = len(starts)
     heads = encoded.dictionary.take(encoded.indices.take(pa.array(first))).to_pylist()
@@ -203,7 +203,7 @@ def coded(words: DataFrame, path: str, pattern: str, n_buckets: int) -> DataFram
                 if row["bucket"] != bucket:
                     known, bucket = {}, row["bucket"]
                 codes, counts = [], []
-                for w in strings(np.frombuffer(row["words"], np.uint8), np.frombuffer(row["sizes"], "<u4")).to_pylist():
+                for w in strings(np.frombuffer(row["words"], np.uint8), np.frombuffer(row["sizes"], "<u4")).to_numpy(zero_copy_only=False).tolist():
                     got = known.get(w)
                     if got is None:
                         got = known[w] = encode(w)

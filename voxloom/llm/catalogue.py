@@ -21,8 +21,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    from voxloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_byte_bpe,)}
+    return {f.__name__: f for f in (op2_packing, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
