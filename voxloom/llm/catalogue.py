@@ -30,8 +30,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as audio, read back and described."""
+    from voxloom.llm.audio import audio_features
+
+    return audio_features(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_packing, op5_audio, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
