@@ -11,6 +11,32 @@ from voxloom.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest rows of every 50th embedding by integer inner product."""
+    from voxloom.llm.kdsearch import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids and decoded bytes of every document, as digests."""
     import public_tokenizers
@@ -38,8 +64,8 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_audio, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_packing, op5_audio, op6_top_k, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_top_k": OP6_SQL}
