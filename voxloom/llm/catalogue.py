@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm.common import table
 
@@ -47,6 +48,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    from voxloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 tokens."""
     import public_tokenizers
@@ -63,9 +71,39 @@ def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    from voxloom.llm.lines import drop_boilerplate
+
+    rows = drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").alias("text"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
+t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
+l AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) AS line FROM p),
+b AS (
+  SELECT l.source, l.line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE l.line <> '' GROUP BY l.source, l.line, t.pages
+  HAVING count(*) >= 5 AND count(*) > CAST(0.05 AS DOUBLE) * t.pages
+),
+s AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
+k AS (
+  SELECT p.doc_id, p.lines,
+         list_filter(p.lines, lambda x: s.bad IS NULL OR NOT list_contains(s.bad, trim(x, ' '))) AS stays
+  FROM p LEFT JOIN s ON p.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(lines) - len(stays), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN lines IS NULL THEN NULL ELSE coalesce(array_to_string(stays, chr(10)), '') END AS text
+FROM k
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_audio, op6_top_k, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op5_audio, op6_top_k, op8_byte_bpe, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL}
+    return {"op6_top_k": OP6_SQL, "op9_lines": OP9_SQL}
