@@ -101,8 +101,15 @@ FROM k
 """
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without strings of 100 bytes that also start earlier."""
+    from voxloom.llm.suffixdedup import cut_repeats
+
+    return cut_repeats(table(spark, sf_dir, "documents"), 100, keep_text=False)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op5_audio, op6_top_k, op8_byte_bpe, op9_lines)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op5_audio, op6_top_k, op8_byte_bpe, op9_lines, op10_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
