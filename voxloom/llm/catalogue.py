@@ -64,6 +64,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from voxloom.llm.neardup import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as audio, read back and described."""
     from voxloom.llm.audio import audio_features
@@ -109,7 +116,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op5_audio, op6_top_k, op8_byte_bpe, op9_lines, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op4_near_duplicates, op5_audio, op6_top_k, op8_byte_bpe, op9_lines, op10_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:

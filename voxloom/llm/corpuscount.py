@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from voxloom.llm.bytebpe import block_key
 from voxloom.llm.common import BLOCK_BYTES, binary, blocks, byte_buffers
 
-#: (bytes, offsets) of a block -> its distinct keys in rising order, and a count of each.
-Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: (bytes, offsets) of a block -> its distinct keys in rising order, a count of
+#: each, and whatever else ``finish`` wants of the way there.
+Keys = Callable[[np.ndarray, np.ndarray], tuple]
 
 TEXT_BLOCK = "block binary, ids binary, missing binary, sizes binary, n_bytes long, texts binary"
 
@@ -81,7 +82,7 @@ def key_blocks(rows: DataFrame, keys: Keys, n_buckets: int, limit: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", limit):
             data, offsets = byte_buffers(block.column(1))
-            own, counts = keys(data, offsets)
+            own, counts = keys(data, offsets)[:2]
             if not len(own):
                 continue
             key = block_key(block.column(0), data, offsets)
@@ -130,7 +131,7 @@ def totals(sent: DataFrame) -> DataFrame:
 
 
 def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Runs ``finish(block, ids, missing, data, offsets, keys, totals)`` -> table
+    """Runs ``finish(block, ids, missing, data, offsets, keys, totals, ...)`` -> table
     on every block of ``rows`` (doc_id, text); ``totals[k]`` is the sum of the
     counts of ``keys[k]`` over all blocks."""
 
@@ -142,11 +143,11 @@ def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int
         out = []
         for row in own.to_pylist():
             ids, missing, data, offsets = unpack_texts(row)
-            mine, _ = keys(data, offsets)
+            mine, _, *more = keys(data, offsets)
             total = np.concatenate([np.zeros(0, np.uint32), *seen.values()])
             if len(total) != len(mine):
                 raise RuntimeError("the two readings of the documents differ: a block lacks keys")
-            out.append(finish(row["block"], ids, missing, data, offsets, mine, total))
+            out.append(finish(row["block"], ids, missing, data, offsets, mine, total, *more))
         return pa.concat_tables(out)
 
     answers = totals(key_blocks(rows, keys, n_buckets, limit))

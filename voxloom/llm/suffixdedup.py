@@ -246,8 +246,7 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """Contexts of starts that may repeat, packed by (block, bucket).  The rows
     of bucket -1 hold starts already known to be later, as (doc, start, n)."""
 
-    def finish(block, ids, missing, data, offsets, keys, total) -> pa.Table:
-        first, count, anchor, hashes = anchor_runs(data, offsets, length)
+    def finish(block, ids, missing, data, offsets, keys, total, first, count, anchor, hashes) -> pa.Table:
         repeated = total[np.searchsorted(keys, hashes)] > 1
         first, count, anchor, hashes = first[repeated], count[repeated], anchor[repeated], hashes[repeated]
         doc = np.searchsorted(offsets, first, "right") - 1
@@ -276,8 +275,9 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
         kinds = {"block": pa.binary(), "bucket": pa.int32(), "contexts": pa.binary(), "data": pa.binary(), "n_data": pa.int64(), "gone": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
-    def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(anchor_runs(data, offsets, length)[3], return_counts=True)
+    def keys(data: np.ndarray, offsets: np.ndarray) -> tuple:
+        runs = anchor_runs(data, offsets, length)
+        return *np.unique(runs[3], return_counts=True), *runs
 
     return with_totals(rows, keys, finish, CONTEXTS, n_buckets)
 
