@@ -101,12 +101,13 @@ def ranked(words: list[str], index: np.ndarray) -> tuple[list[str], np.ndarray]:
     return [words[k] for k in order], place[index]
 
 
-def pack_positions(index: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as compressed byte planes: most high bytes are 0."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def unpack_positions(data: bytes, n: int) -> np.ndarray:
+def unpack_numbers(data: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
@@ -137,8 +138,8 @@ def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 DOC_SIDE = "block binary, ids binary, missing binary, counts binary, n long, positions binary"
-WORD_SIDE = "block binary, bucket int, slots binary, sizes binary, words binary"
-CODE_SIDE = "block binary, slots binary, counts binary, codes binary"
+WORD_SIDE = "block binary, bucket int, n int, slots binary, sizes binary, words binary"
+CODE_SIDE = "block binary, n int, slots binary, counts binary, codes binary"
 
 
 def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFrame:
@@ -162,7 +163,7 @@ def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFr
                         "missing": binary([np.packbits(missing).tobytes()]),
                         "counts": binary([counts.astype("<i8").tobytes()]),
                         "n": pa.array([len(index)], pa.int64()),
-                        "positions": binary([pack_positions(index)]),
+                        "positions": binary([pack_numbers(index)]),
                     }
                 )
                 continue
@@ -181,9 +182,10 @@ def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFr
                 {
                     "block": binary([key] * len(used)),
                     "bucket": pa.array(used, pa.int32()),
-                    "slots": binary([order[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in used]),
-                    "sizes": binary([sizes[cuts[b] : cuts[b + 1]].astype("<u4").tobytes() for b in used]),
-                    "words": binary([sorted_data[ends[cuts[b]] : ends[cuts[b + 1]]].tobytes() for b in used]),
+                    "n": pa.array([int(cuts[b + 1] - cuts[b]) for b in used], pa.int32()),
+                    "slots": binary([pack_numbers(np.diff(order[cuts[b] : cuts[b + 1]], prepend=0)) for b in used]),
+                    "sizes": binary([pack_numbers(sizes[cuts[b] : cuts[b + 1]]) for b in used]),
+                    "words": binary([pa.compress(sorted_data[ends[cuts[b]] : ends[cuts[b + 1]]].tobytes(), "zstd", asbytes=True) for b in used]),
                 }
             )
 
@@ -198,22 +200,25 @@ def coded(words: DataFrame, path: str, pattern: str, n_buckets: int) -> DataFram
         known: dict[str, np.ndarray] = {}
         bucket = None
         for batch in batches:
-            out = {"block": [], "slots": [], "counts": [], "codes": []}
+            out: dict[str, list] = {x.split()[0]: [] for x in CODE_SIDE.split(", ")}
             for row in batch.to_pylist():
                 if row["bucket"] != bucket:
                     known, bucket = {}, row["bucket"]
                 codes, counts = [], []
-                for w in strings(np.frombuffer(row["words"], np.uint8), np.frombuffer(row["sizes"], "<u4")).to_numpy(zero_copy_only=False).tolist():
+                sizes = unpack_numbers(row["sizes"], row["n"])
+                words = np.frombuffer(pa.decompress(row["words"], int(sizes.sum()), "zstd", asbytes=True), np.uint8)
+                for w in strings(words, sizes).to_numpy(zero_copy_only=False).tolist():
                     got = known.get(w)
                     if got is None:
                         got = known[w] = encode(w)
                     codes += got
                     counts.append(len(got))
                 out["block"].append(row["block"])
+                out["n"].append(row["n"])
                 out["slots"].append(row["slots"])
-                out["counts"].append(np.array(counts, "<u4").tobytes())
-                out["codes"].append(np.array(codes, "<u4").tobytes())
-            yield pa.RecordBatch.from_pydict({k: binary(v) for k, v in out.items()})
+                out["counts"].append(pack_numbers(np.array(counts)))
+                out["codes"].append(pack_numbers(np.array(codes)))
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32()) if k == "n" else binary(v) for k, v in out.items()})
 
     dealt = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, CODE_SIDE)
@@ -244,9 +249,12 @@ def encode_decode(
     def reassemble(key, own: pa.Table, theirs: pa.Table) -> pa.Table:
         if not own.num_rows:
             raise RuntimeError("the two readings of the documents differ: a block has words and no documents")
-        slots, counts, codes = ([np.frombuffer(x, "<u4") for x in theirs.column(c).to_pylist()] for c in ("slots", "counts", "codes"))
-        slot, count = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (slots, counts))
-        code = np.concatenate(codes) if codes else np.zeros(0, "<u4")
+        slots, counts, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for row in theirs.to_pylist():
+            slots.append(np.cumsum(unpack_numbers(row["slots"], row["n"]), dtype=np.int64))
+            counts.append(unpack_numbers(row["counts"], row["n"]).astype(np.int64))
+            codes.append(unpack_numbers(row["codes"], int(counts[-1].sum())))
+        slot, count, code = map(np.concatenate, (slots, counts, codes))
         first = np.concatenate([[0], np.cumsum(count)])[:-1]
         n_words = int(slot.max(initial=-1)) + 1
         at, size = np.full(n_words, -1, np.int64), np.zeros(n_words, np.int64)
@@ -260,7 +268,7 @@ def encode_decode(
         for row in own.to_pylist():
             ids = np.frombuffer(row["ids"], "<i8")
             missing = np.unpackbits(np.frombuffer(row["missing"], np.uint8), count=len(ids))
-            positions = unpack_positions(row["positions"], row["n"])
+            positions = unpack_numbers(row["positions"], row["n"])
             if len(positions) and int(positions.max()) >= n_words:
                 raise RuntimeError("the two readings of the documents differ: a block lacks words")
             end = 0
