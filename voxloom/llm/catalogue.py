@@ -38,6 +38,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named in every document."""
+    from voxloom.llm.licences import scan_licences
+
+    rows = scan_licences(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_paragraphs", "n_licence", "families", F.to_json("found").alias("found"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids and decoded bytes of every document, as digests."""
     import public_tokenizers
@@ -64,6 +72,35 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the WARC files of all pages: in it one byte of every
+    97th page's record is another, and every 389th page's record is empty."""
+    from voxloom.llm.warc import audit, page_records
+
+    primary = page_records(table(spark, sf_dir, "pages"))
+    flipped = F.concat(F.substring("record", 1, 12), F.unhex(F.lit("00")), F.expr("substring(record, 14)"))
+    record = F.when(F.col("page_id") % 389 == 7, F.unhex(F.lit(""))).when((F.col("page_id") % 97 == 13), flipped).otherwise(F.col("record"))
+    return audit(primary, primary.withColumn("record", record))
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS file_no,
+         strlen(concat('WARC/1.0', 'RN', 'WARC-Type: response', 'RN', 'WARC-Record-ID: <urn:page:', page_id, '>', 'RN',
+                       'WARC-Date: 2024-01-01T00:00:00Z', 'RN', 'WARC-Target-URI: ', coalesce(url, ''), 'RN',
+                       'Content-Type: text/html', 'RN', 'Content-Length: ', strlen(coalesce(html, '')), 'RNRN'))
+         + strlen(coalesce(html, '')) + 4 AS n
+  FROM pages
+), r AS (
+  SELECT page_id, file_no, n, row_number() OVER w - 1 AS record_no, CAST(sum(n) OVER w AS BIGINT) AS "end"
+  FROM p WINDOW w AS (PARTITION BY file_no ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+)
+SELECT page_id, file_no, CAST(record_no AS BIGINT) AS record_no, CAST("end" - n AS BIGINT) AS start, "end",
+       CASE WHEN page_id % 389 = 7 THEN 'missing' ELSE 'corrupt' END AS status
+FROM r WHERE page_id % 389 = 7 OR page_id % 97 = 13
+"""
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     from voxloom.llm.neardup import near_duplicate_classes
@@ -116,8 +153,8 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op4_near_duplicates, op5_audio, op6_top_k, op8_byte_bpe, op9_lines, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_warc_audit, op4_near_duplicates, op5_audio, op6_top_k, op7_licences, op8_byte_bpe, op9_lines, op10_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL, "op9_lines": OP9_SQL}
+    return {"op3_warc_audit": OP3_SQL, "op6_top_k": OP6_SQL, "op9_lines": OP9_SQL}

@@ -276,3 +276,13 @@ def near_duplicate_classes(
     classes = found.select("doc_id", "digest").join(of_text, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     every = rows_of.select("doc_id").join(classes, "doc_id", "left")
     return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their class; rows without
+    an id stay.  Of rows that repeat an id, one stays."""
+    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    if docs.groupBy(id_col).count().filter((F.col("count") > 1) & F.col(id_col).isNotNull()).isEmpty():
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))

@@ -158,6 +158,36 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def fit_labels(known: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrinkage: float) -> Discriminant | None:
+    """A discriminant from the labels that are not held out."""
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    marks = marks.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    return fit(known.join(marks, "doc_id"), len(STATISTICS), shrinkage)
+
+
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, reject_below: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = SHRINKAGE
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``reject_below`` or more.
+
+    Only statistics are joined with labels; texts are scored where they are
+    read and never shuffled.  Edge cases are those of ``quality_scores``; with
+    nothing learned every row stays.
+    """
+    known = written(document_statistics(docs, id_col, text_col), "statistics")
+    model = fit_labels(known, labels, id_col, label_col, shrinkage)
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col, BLOCK):
+            score = model.score(statistics(*byte_buffers(block.column(at))))
+            yield block.filter(pa.array(score >= reject_below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrinkage: float = SHRINKAGE
 ) -> DataFrame:
@@ -171,9 +201,7 @@ def quality_scores(
     """
     dims = len(STATISTICS)
     known = written(document_statistics(docs, id_col, text_col), "statistics")
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    model = fit(known.join(marks, "doc_id"), dims, shrinkage)
+    model = fit_labels(known, labels, id_col, label_col, shrinkage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

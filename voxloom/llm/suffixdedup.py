@@ -23,9 +23,12 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxloom.llm.common import binary, buckets, ragged, text_rows, written
 from voxloom.llm.corpuscount import text_blocks, unpack_texts, with_totals
@@ -394,3 +397,24 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
 
     return text_blocks(rows).groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with what ``cut_repeats`` keeps as
+    their text (a character that a cut leaves incomplete goes too) and, if there
+    is one, ``chars_col`` counted anew.  Ids must not repeat; rows without an id
+    keep their text."""
+    cut = cut_repeats(docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()), length, id_col, text_col)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__id", "__kept"])
+
+    kept = cut.filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "__id long, __kept string")
+    joined = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left")
+    text = F.coalesce("__kept", text_col)
+    changed = {text_col: text}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.length("__kept").cast(docs.schema[chars_col].dataType))
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
