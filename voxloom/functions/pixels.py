@@ -52,9 +52,10 @@ def voxel_index(coordinate: Column, size: float) -> Column:
 
 
 def byte_colour(channel: Column, scale: Column | float = 1.0) -> Column:
-    """A channel times ``scale``, rounded half to even and clipped to 0-255."""
+    """A channel times ``scale``, rounded half to even and clipped to 0-255.
+    The product has the channel's own precision: give FLOAT for FLOAT."""
     factor = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return F.least(F.greatest(F.rint(channel.cast("double") * factor), F.lit(0.0)), F.lit(255.0)).cast("int")
+    return F.least(F.greatest(F.rint(channel * factor), F.lit(0.0)), F.lit(255.0)).cast("int")
 
 
 def blend(base: Column, over: Column, alpha: float = 0.45) -> Column:

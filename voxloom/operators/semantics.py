@@ -99,7 +99,7 @@ def hsv_palette(spark: SparkSession, classes: int = UNKNOWN_LABEL + 1) -> DataFr
 
 def random_palette(spark: SparkSession, classes: int, seed: int = 42) -> DataFrame:
     """label and 8-bit r, g, b drawn from a seeded PCG64 generator."""
-    colours = np.random.default_rng(seed).integers(0, 256, (classes, 3)).astype(np.uint8)
+    colours = np.random.default_rng(seed).integers(0, 256, (classes, 3), np.uint8)
     rows = [(k, *map(int, c)) for k, c in enumerate(colours)]
     return spark.createDataFrame(rows, "label bigint, r smallint, g smallint, b smallint")
 

@@ -447,7 +447,7 @@ SELECT l_orderkey, l_linenumber, l_partkey,
 FROM lineitem JOIN k ON label = l_linenumber""")
 def overlay_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     palette = semantics.hsv_palette(spark)
-    palette = palette.select("label", *[byte_colour(F.col(c), 255.0).alias(c) for c in "rgb"])
+    palette = palette.select("label", *[byte_colour(F.col(c).cast("double"), 255.0).alias(c) for c in "rgb"])
     colours = {"r": "l_partkey", "g": "l_suppkey", "b": "l_orderkey"}
     pixels = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_linenumber").cast("bigint").alias("label"), *[(F.col(k) % 256).alias(c) for c, k in colours.items()]
@@ -468,7 +468,7 @@ def experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sweep(observations(spark, sf_dir), grid, "frame_idx")
 
 
-PLY_BYTE = "CAST(round_even(least(greatest(CAST(CAST({c} AS FLOAT) AS DOUBLE) * 255, 0), 255), 0) AS INTEGER)"
+PLY_BYTE = "CAST(round_even(least(greatest(CAST(CAST(CAST({c} AS FLOAT) * CAST(255 AS FLOAT) AS FLOAT) AS DOUBLE), 0), 255), 0) AS INTEGER)"
 
 
 @query("WITH " + OBS + """ SELECT l_orderkey, l_partkey, concat_ws(' ', """ + ", ".join(f"printf('%.6f', CAST(CAST({c} AS FLOAT) AS DOUBLE))" for c in "xyz") + ", "

@@ -35,11 +35,13 @@ def quantised_points(points: DataFrame, order: list[str] | None = None) -> DataF
     """x, y, z (FLOAT) and 8-bit r, g, b of the finite points.  Colours that are
     fractional in type and nowhere above 1 are scaled by 255."""
     kept = finite_points(points)
-    channels = [F.col(c).cast("double") for c in "rgb"]
+    # FLOAT colours are scaled in FLOAT: 0.3 becomes 76, in DOUBLE it would be 77
+    kind = "float" if points.schema["r"].dataType.typeName() == "float" else "double"
+    channels = [F.col(c).cast(kind) for c in "rgb"]
     if points.schema["r"].dataType.typeName() in ("float", "double", "decimal"):
         top = kept.agg(F.max(F.greatest(*channels)).alias("__top"))
         kept = kept.join(top).withColumn("__scale", F.when(F.col("__top") <= 1.0, 255.0).otherwise(1.0))
-        colours = [byte_colour(c, F.col("__scale")).alias(n) for c, n in zip(channels, "rgb", strict=True)]
+        colours = [byte_colour(c, F.col("__scale").cast(kind)).alias(n) for c, n in zip(channels, "rgb", strict=True)]
     else:
         colours = [byte_colour(c).alias(n) for c, n in zip(channels, "rgb", strict=True)]
     return kept.select(*(order or []), *[F.col(c).cast("float").alias(c) for c in "xyz"], *colours)
