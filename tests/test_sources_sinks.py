@@ -82,7 +82,7 @@ def test_sequence_folder(spark, tmp_path):
     (folder / "depth.txt").write_text("1.0 depth/1.png\n")
     (folder / "groundtruth.txt").write_text("1.0 0 0 0 0 0 0 1\n")
     datasource.register(spark)
-    got = spark.read.format("rgbd_sequence").option("kind", "depth").load(str(tmp_path)).collect()
+    got = spark.read.format("camera_sequence").option("kind", "depth").load(str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("seq", 0, 1.0, "depth/1.png")]
     assert sequence.read_index(spark, str(folder / "rgb.txt")).first()["path"] == "rgb/1.png"
     assert sequence.read_poses(spark, str(folder / "groundtruth.txt")).first()["qw"] == 1.0
@@ -93,7 +93,7 @@ def test_sequence_folder(spark, tmp_path):
     pixels = sequence.decode_frames(frame.withColumn("frame_idx", F.lit(0)), ["frame_idx"], 2)
     assert pixels.count() == 4 and pixels.filter("v = 2 and u = 2").first()["red"] == rgb[2, 2, 0]
     with pytest.raises(Exception):  # noqa: B017
-        spark.read.format("rgbd_sequence").load(str(folder / "rgb")).collect()
+        spark.read.format("camera_sequence").load(str(folder / "rgb")).collect()
 
 
 def test_snapshot_id(spark):

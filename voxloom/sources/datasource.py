@@ -1,4 +1,4 @@
-"""``spark.read.format("rgbd_sequence")``: frames of recorded sequence folders.
+"""``spark.read.format("camera_sequence")``: frames of recorded sequence folders.
 
 A folder holds rgb.txt, depth.txt and the images they name.  Reading gives the
 index entries, a partition for each sequence; ``option("kind", "depth")`` picks
@@ -20,7 +20,7 @@ from voxloom.schemas import INDEX_ENTRY
 class SequenceSource(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "rgbd_sequence"
+        return "camera_sequence"
 
     def schema(self) -> str:
         return INDEX_ENTRY
