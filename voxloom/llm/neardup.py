@@ -9,9 +9,10 @@
    A sample of two texts agrees with the probability of their weighted Jaccard
    similarity; ROWS samples make a band key.
 4. Texts that share a band key are candidates.  Links are verified by the
-   weighted Jaccard similarity of the whole texts, bucket leaders first; a pair
-   is skipped only where its texts are already linked through others, so groups
-   of thousands cost links, not pairs, and every pair of candidates is decided.
+   weighted Jaccard similarity of the whole texts, bucket leaders first; then
+   texts under one leader that are still apart meet in tiles, where only links
+   become rows.  A pair is skipped only where its texts are already linked
+   through others, so every pair of candidates is decided.
 5. Linked texts form classes by alternating large-star and small-star rounds.
 
 The idf is damped (1 for a shingle that is everywhere, 1 + ``IDF_SPAN`` for one
@@ -35,7 +36,11 @@ from voxloom.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-IDF_SPAN = 0.25
+IDF_SPAN = 0.1
+#: Hashes are shuffled to be counted: a byte less of each is a byte less to move.
+KEPT_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
+#: Texts of either role in a tile of a canopy, and shingles of a matrix slab.
+TILE, SLAB = 512, 4096
 #: Cells of the sampling matrix computed at a time.
 CELLS = 1 << 18
 FOLD = np.arange(256, dtype=np.uint8)
@@ -43,8 +48,9 @@ FOLD[65:91] += 32
 
 
 def text_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in order, and shingles a text; ASCII case is folded."""
-    return shingle_hashes(*word_hashes(FOLD[data], offsets), size)
+    """Shingle hashes (56 bits) in order, and shingles a text; ASCII case is folded."""
+    hashes, counts = shingle_hashes(*word_hashes(FOLD[data], offsets), size)
+    return hashes & KEPT_BITS, counts
 
 
 def by_key(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -187,8 +193,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): the least node it is
-    connected to.  Alternates large-star and small-star until nothing changes;
+    """(node, root) of every node of ``edges`` (a, b) that is not the least of
+    those it is connected to; that is its root.  Alternates large-star and small-star until nothing changes;
     edges are only ever rows."""
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -207,6 +213,76 @@ def components(edges: DataFrame) -> DataFrame:
     return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def tile_links(group: pa.Table, threshold: float) -> pa.Table:
+    """Links between the texts of role x and those of role y in one tile of a
+    canopy: for each x the best y of every other root that reaches the threshold.
+
+    The dot product of square roots of weights bounds the sum of minima from
+    above, so a matrix product over shared shingles decides nearly all pairs;
+    those it leaves are verified exactly.
+    """
+    rows = group.select(["doc_id", "root", "role", "hashes", "weights"]).to_pylist()
+    sides = [[r for r in rows if r["role"] == role] for role in (0, 1)]
+    sets = [[(np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["weights"], "<f4")) for r in side] for side in sides]
+    found: list[tuple[int, int]] = []
+    if all(sets):
+        flat = [np.concatenate([h for h, _ in side]) for side in sets]
+        shared = np.intersect1d(*flat)
+        entries = []
+        for side, keys in zip(sets, flat, strict=True):
+            at = np.searchsorted(shared, keys)
+            known = at < len(shared)
+            known[known] = shared[at[known]] == keys[known]
+            owner = np.repeat(np.arange(len(side)), [len(h) for h, _ in side])
+            root = np.sqrt(np.concatenate([w for _, w in side]))
+            entries.append((at[known], owner[known], root[known]))
+        bound = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+        for a in range(0, len(shared), SLAB):
+            parts = []
+            for (at, owner, root), side in zip(entries, sets, strict=True):
+                here = (at >= a) & (at < a + SLAB)
+                dense = np.zeros((len(side), min(SLAB, len(shared) - a)), np.float32)
+                dense[owner[here], at[here] - a] = root[here]
+                parts.append(dense)
+            bound += parts[0] @ parts[1].T
+        whole = [np.array([w.sum(dtype=np.float64) for _, w in side]) for side in sets]
+        most = bound / np.maximum(whole[0][:, None] + whole[1][None] - bound, 1e-9)
+        roots = [np.array([r["root"] for r in side]) for side in sides]
+        may = (most >= threshold - 1e-3) & (roots[0][:, None] != roots[1][None])
+        for x in np.flatnonzero(may.any(1)).tolist():
+            done: set[int] = set()
+            for y in sorted(np.flatnonzero(may[x]).tolist(), key=lambda y: -most[x, y]):
+                other = int(roots[1][y])
+                if other not in done and weighted_jaccard(*sets[0][x], *sets[1][y]) >= threshold - 1e-7:
+                    done.add(other)
+                    found.append((sides[0][x]["doc_id"], sides[1][y]["doc_id"]))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def canopy_links(stars: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of other roots that share a leader.
+
+    A canopy is a leader's texts; every two texts of one bucket are in a canopy
+    together.  Texts outside the canopy's largest root (x) meet all its texts
+    (y), in tiles of about TILE of each, so no task grows with a canopy, and no
+    pair becomes a row unless it is a link.
+    """
+    own = roots.select(F.col("node").alias("a"), "root")
+    members = stars.join(own, "a", "left").select(F.col("b").alias("lead"), F.col("a").alias("doc_id"), F.coalesce("root", "a").alias("root"))
+    sizes = members.groupBy("lead", "root").agg(F.count("*").alias("n"))
+    canopies = sizes.groupBy("lead").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    mixed = canopies.filter("largest < n").select(
+        "lead", "main", F.ceil(F.col("n") / TILE).cast("int").alias("ys"), F.ceil((F.col("n") - F.col("largest")) / TILE).cast("int").alias("xs")
+    )
+    placed = members.join(mixed, "lead").withColumn("h", F.xxhash64("doc_id"))
+    x = placed.filter("root <> main").withColumn("xt", F.pmod("h", F.col("xs"))).withColumn("yt", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
+    y = placed.withColumn("yt", F.pmod("h", F.col("ys"))).withColumn("xt", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    columns = ["lead", F.col("xt").cast("int").alias("xt"), F.col("yt").cast("int").alias("yt"), "doc_id", "root"]
+    both = x.select(*columns, F.lit(0).alias("role")).unionByName(y.select(*columns, F.lit(1).alias("role")))
+    full = both.join(texts, "doc_id")
+    return full.groupBy("lead", "xt", "yt").applyInArrow(lambda group: tile_links(group, threshold), "a long, b long")
+
+
 def linked(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
     """(node, root) of texts that are linked with others."""
     spark = texts.sparkSession
@@ -223,6 +299,7 @@ def linked(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
         return marked.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
     def grow(links: DataFrame | None, roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+        """Links and roots after verifying ``pairs``."""
         if pairs.isEmpty():
             return links, roots
         found = verified(pairs, texts, threshold)
@@ -234,17 +311,11 @@ def linked(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
     first = stars.groupBy("a").agg(F.min("b").alias("b"))
     links, roots = grow(None, none, first)
     links, roots = grow(links, roots, written(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "pairs"))
-    # what remains in buckets of several roots: everyone outside the largest root with everyone of another root
-    rooted = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rooted = rooted.select("band_key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    sizes = rooted.groupBy("band_key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band_key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = rooted.join(main, "band_key")
-    minor = mixed.filter("root <> main").select("band_key", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    cross = minor.join(mixed.select("band_key", F.col("doc_id").alias("y"), F.col("root").alias("ry")), "band_key").filter("rx <> ry")
-    pairs = cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return grow(links, roots, pairs)[1]
+    # what remains: texts that share a leader and are neither linked nor compared
+    more = canopy_links(stars, roots, texts, threshold)
+    more = written(more if links is None else more.unionByName(links), "links")
+    release_shuffles(spark)
+    return components(more)
 
 
 def near_duplicate_classes(
