@@ -80,10 +80,12 @@ def build(vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray,
     return order, np.array(ranges), np.array(children), np.array(boxes)
 
 
-def search(tree, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray):
+def search(
+    tree: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray
+) -> list[list[tuple[int, int]]]:
     """The k best (score, -id) of each query in one tree, given the kth scores
-    known so far (NONE: none).  ``vectors`` and ``ids`` are in tree order."""
-    _, ranges, children, boxes = tree
+    known so far (NONE: none).  ``tree`` is (ranges, children, boxes); ``vectors`` and ``ids`` are in tree order."""
+    ranges, children, boxes = tree
     top = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * vectors.shape[1]
     kind = np.float64 if top < EXACT else object
     v, q = vectors.astype(kind), queries.astype(kind)
@@ -170,7 +172,6 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
                 ids = np.frombuffer(row["ids"], "<i8")
                 wide = "<i4" if len(row["vectors"]) == 4 * dim * len(ids) else "<i8"
                 tree = (
-                    None,
                     np.frombuffer(row["ranges"], "<i4").reshape(-1, 2),
                     np.frombuffer(row["children"], "<i4").reshape(-1, 2),
                     np.frombuffer(row["boxes"], "<i8").reshape(-1, 2, dim),
