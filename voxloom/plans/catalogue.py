@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions.pixels import byte_colour, depth_to_metres, single, valid_depth
+from voxloom.functions.pixels import byte_colour, depth_to_metres, valid_depth
 from voxloom.functions.poses import TRANSLATION, distance
 from voxloom.operators import association as assoc
 from voxloom.operators import fusion, geometry, labels, metrics, selection, semantics, snapshots
