@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,39 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: it cuts the
     lineage, survives lost executors and is never computed twice."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables written inside, but for those written with what it
+    yields: an operator of many steps leaves its result, not its steps."""
+    _scopes.append([])
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        _scopes[-1].pop()
+        return out
+
+    try:
+        yield result
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of earlier steps that nothing refers to."""
     import gc

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, buckets, ragged, release_shuffles, text_rows, written
+from voxloom.llm.common import binary, buckets, passing_tables, release_shuffles, text_rows, written
 from voxloom.llm.corpuscount import with_totals
 from voxloom.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -336,17 +336,17 @@ def near_duplicate_classes(
         raise ValueError("the threshold is above 0 and at most 1")
     spark = docs.sparkSession
     rows_of = text_rows(docs, id_col, text_col)
-    n_docs = docs.count()
-    found = written(weighted_shingles(rows_of, n_docs, buckets(spark), size, threshold, idf_span), "shingles")
-    release_shuffles(spark)
-    copies = written(found.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
-    nodes = found.filter("n > 0").join(copies.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d")), "doc_id")
-    texts = written(nodes.filter("digest = d").dropDuplicates(["doc_id"]).select("doc_id", "hashes", "weights"), "texts")
-    roots = linked(texts, written(band_keys(texts, bands, rows), "bands"), threshold)
-    of_text = copies.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
-    classes = found.select("doc_id", "digest").join(of_text, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    every = rows_of.select("doc_id").join(classes, "doc_id", "left")
-    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    with passing_tables(spark) as result:
+        found = written(weighted_shingles(rows_of, docs.count(), buckets(spark), size, threshold, idf_span), "shingles")
+        release_shuffles(spark)
+        copies = written(found.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
+        nodes = found.filter("n > 0").join(copies.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d")), "doc_id")
+        texts = written(nodes.filter("digest = d").dropDuplicates(["doc_id"]).select("doc_id", "hashes", "weights"), "texts")
+        roots = linked(texts, written(band_keys(texts, bands, rows), "bands"), threshold)
+        of_text = copies.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
+        classes = found.select("doc_id", "digest").join(of_text, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        every = rows_of.select("doc_id").join(classes, "doc_id", "left")
+        return result(every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, buckets, ragged, text_rows, written
+from voxloom.llm.common import binary, buckets, passing_tables, ragged, release_shuffles, text_rows, written
 from voxloom.llm.corpuscount import text_blocks, unpack_texts, with_totals
 from voxloom.llm.hashing import BASE, byte_table, mix
 
@@ -104,7 +104,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
 
 def names(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
     """Ranks from 1 of rows of small non-negative numbers, equal for equal rows."""
-    packed, room = columns[0].astype(np.uint64), 1
+    packed = columns[0].astype(np.uint64)
     bits = [int(c.max(initial=0)).bit_length() for c in columns]
     if sum(bits) > 64:  # name a pair first
         pair, _ = names(columns[:2])
@@ -132,7 +132,7 @@ def suffix_ranks(s: np.ndarray, span: int, needed: int) -> np.ndarray:
     name, distinct = names([padded[sampled], padded[sampled + 1], padded[np.minimum(sampled + 2, n + 2)]])
     if distinct < len(sampled) and 3 * span < needed:
         # recurse on the names, those at 1 mod 3 and then those at 2 mod 3
-        order = suffix_ranks(np.concatenate([name, [1]])[: len(name)], 3 * span, needed)
+        order = suffix_ranks(name, 3 * span, needed)
         name = np.empty(len(order), np.int64)
         name[order] = np.arange(1, len(order) + 1)
     rank = np.zeros(n + 4, np.int64)
@@ -352,8 +352,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     if not GRAM < length < 256:
         raise ValueError(f"length must be above {GRAM} and below 256")
     rows = text_rows(docs, id_col, text_col)
-    found = written(contexts(rows, buckets(docs.sparkSession), length), "contexts")
-    gone = removed_starts(found, length).unionByName(found.filter("bucket < 0").select("block", "gone"))
+    with passing_tables(docs.sparkSession) as result:
+        found = written(contexts(rows, buckets(docs.sparkSession), length), "contexts")
+        release_shuffles(docs.sparkSession)
+        gone = result(removed_starts(found, length).unionByName(found.filter("bucket < 0").select("block", "gone")), "gone")
+    release_shuffles(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         schema += ", kept binary, spans array<struct<start: long, length: long>>"
