@@ -28,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, blocks, buckets, byte_buffers, ragged, text_rows
+from voxloom.llm.common import binary, blocks, buckets, byte_buffers, ragged, text_rows, trim
 
-EXPLODE_BYTES = 12 << 20
+EXPLODE_BYTES = 8 << 20
 #: White space of Unicode, as the pre-token pattern's \s has it.
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Where cutting before each blank could split one run of white space in two.
@@ -287,6 +287,7 @@ def encode_decode(
         types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         if keep_ids:
             types |= {"ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+        trim()
         return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
 
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(reassemble, schema)

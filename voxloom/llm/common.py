@@ -10,17 +10,19 @@ Heavy text work runs in Arrow batches.  Two habits keep it bounded and cheap:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,7 +112,7 @@ def blocks(
     batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """Regroups batches so that ``column`` holds about ``limit`` bytes in each,
-    a longer value alone; rows keep their order."""
+    a longer value alone; rows keep their order.  Memory is trimmed between."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -129,9 +131,12 @@ def blocks(
             if stop < batch.num_rows:
                 yield joined(held)
                 held, size = [], 0
+                trim()
             start = max(stop, start)
     if held:
         yield joined(held)
+    held = []
+    trim()
 
 
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -141,6 +146,22 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it has no trim
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system.  A Python worker lives through
+    many stages; what its allocators keep would add up over them."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indexes start, start + 1, ... of every (start, count), one after another."""
     total = int(counts.sum())

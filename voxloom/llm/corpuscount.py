@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxloom.llm.bytebpe import block_key
-from voxloom.llm.common import BLOCK_BYTES, binary, blocks, byte_buffers
+from voxloom.llm.common import BLOCK_BYTES, binary, blocks, byte_buffers, trim
 
 #: (bytes, offsets) of a block -> its distinct keys in rising order, a count of
 #: each, and whatever else ``finish`` wants of the way there.
@@ -120,6 +120,8 @@ def totals(sent: DataFrame) -> DataFrame:
         total = np.empty(len(every), np.uint32)
         total[order] = np.minimum(sums, 0xFFFFFFFF).astype(np.uint32)[np.cumsum(first) - 1]
         ends = np.cumsum(sizes)
+        del every, counts, order, first
+        trim()
         return pa.table(
             {
                 "block": group["block"], "bucket": pa.array([bucket] * len(rows), pa.int32()), "n": group["n"],
@@ -148,6 +150,8 @@ def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int
             if len(total) != len(mine):
                 raise RuntimeError("the two readings of the documents differ: a block lacks keys")
             out.append(finish(row["block"], ids, missing, data, offsets, mine, total, *more))
+            del ids, missing, data, offsets, mine, total, more
+            trim()
         return pa.concat_tables(out)
 
     answers = totals(key_blocks(rows, keys, n_buckets, limit))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, buckets, passing_tables, release_shuffles, text_rows, written
+from voxloom.llm.common import binary, buckets, passing_tables, release_shuffles, text_rows, trim, written
 from voxloom.llm.corpuscount import with_totals
 from voxloom.llm.hashing import mix, shingle_hashes, word_hashes
 
@@ -159,6 +159,7 @@ def band_keys(texts: DataFrame, bands: int, rows: int) -> DataFrame:
                 ids += [doc_id] * bands
                 keys.append(key.view(np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(ids, pa.int64())], ["band_key", "doc_id"])
 
     return texts.select("doc_id", "hashes", "weights").mapInArrow(run, "band_key long, doc_id long")
@@ -185,6 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 one, w1, two, w2 = (np.frombuffer(x, d) for x, d in zip(row, ("<u8", "<f4", "<u8", "<f4"), strict=True))
                 keep.append(weighted_jaccard(one, w1, two, w2) >= threshold - 1e-7)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            trim()
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h2"), F.col("weights").alias("w2"))

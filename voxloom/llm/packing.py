@@ -30,7 +30,7 @@ OPEN_BINS = 1024
 WINDOW = 4000
 SHARD_PIECES = 60_000
 #: Entries of a worker's cache of encoded words; it empties when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Below this code point, lower case is by character and normalisation changes nothing.
 PLAIN_BELOW = 0x250
 
