@@ -76,6 +76,16 @@ def test_long_texts_and_small_sorts(spark, monkeypatch):
     assert cut(spark, rows) == brute(rows)
 
 
+def test_hot_anchors_travel_alone(spark, monkeypatch):
+    """Every repeated anchor counts as hot; a passage that all documents share."""
+    monkeypatch.setattr(suffixdedup, "HOT_ANCHOR", 1)
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = word(250)
+    rows = [(k, word(80) + passage + word(80) + passage[: 90 + k]) for k in range(30)] + [(99, "r" * 300), (100, "r" * 250)]
+    assert cut(spark, rows) == brute(rows)
+
+
 def test_documents(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     found = sorted((str(r[0]), *r[1:]) for r in catalogue.op10_suffix_array(spark, sf_dir).collect())

@@ -10,7 +10,9 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier
    which leaves it out exactly.
 2. *Distribution.*  Starts that share an anchor occurrence travel together with
    the bytes they need (a *context*) to the bucket of their anchor: equal
-   strings meet there.  Contexts equal byte for byte are sent and sorted once.
+   strings meet there.  Contexts equal byte for byte are sent and sorted once;
+   the starts of very frequent anchors go one by one to the bucket of their
+   string, so no bucket grows with one passage.
 3. *Suffix sorting.*  Each bucket sorts the suffixes of its contexts with the
    difference cover {1, 2} modulo 3: triples at sampled positions are sorted and
    named, the names are sorted by recursion (until they are unique or span
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, buckets, passing_tables, ragged, release_shuffles, text_rows, written
+from voxloom.llm.common import binary, buckets, passing_tables, ragged, release_shuffles, text_rows, trim, written
 from voxloom.llm.corpuscount import text_blocks, unpack_texts, with_totals
-from voxloom.llm.hashing import BASE, byte_table, mix
+from voxloom.llm.hashing import BASE, byte_table, mix, span_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -40,6 +42,8 @@ GRAM = 32
 CHUNK_BYTES = 1 << 18
 SORT_BYTES = 1 << 20
 POSITION_BITS = np.uint64(24)
+#: Starts of an anchor with more occurrences than this in the corpus travel one by one.
+HOT_ANCHOR = 10_000
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -239,6 +243,29 @@ def fold_equal(data: np.ndarray, first: np.ndarray, count: np.ndarray, lead: np.
     return np.sort(order[~dropped]), order[dropped]
 
 
+def split_hot(
+    data: np.ndarray, hot: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, hashes: np.ndarray, length: int
+) -> tuple[np.ndarray, ...]:
+    """Contexts in which the starts of ``hot`` anchors stand alone, under a hash
+    of their whole string in place of the anchor's.
+
+    A passage in a third of all documents has anchors whose contexts differ in
+    each of them where the passage ends; alone, its strings spread over all
+    buckets, and those that are equal are still sent once a block.
+    """
+    if not hot.any():
+        return first, count, anchor, hashes
+    starts = ragged(first[hot], count[hot])
+    order = np.argsort(starts, kind="stable")
+    alone = np.empty(len(starts), np.uint64)
+    alone[order] = span_hashes(data, starts[order], starts[order] + length)
+    cold = ~hot
+    return (
+        np.concatenate([first[cold], starts]), np.concatenate([count[cold], np.ones(len(starts), count.dtype)]),
+        np.concatenate([anchor[cold], np.repeat(anchor[hot], count[hot])]), np.concatenate([hashes[cold], alone]),
+    )
+
+
 CONTEXTS = "block binary, bucket int, contexts binary, data binary, n_data long, gone binary"
 REMOVED = "block binary, gone binary"
 #: A context's numbers: document in the block, id, start in the document, starts, anchor's distance, anchor.
@@ -249,9 +276,13 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """Contexts of starts that may repeat, packed by (block, bucket).  The rows
     of bucket -1 hold starts already known to be later, as (doc, start, n)."""
 
+    hot = HOT_ANCHOR
+
     def finish(block, ids, missing, data, offsets, keys, total, first, count, anchor, hashes) -> pa.Table:
         repeated = total[np.searchsorted(keys, hashes)] > 1
+        often = total[np.searchsorted(keys, hashes)][repeated]
         first, count, anchor, hashes = first[repeated], count[repeated], anchor[repeated], hashes[repeated]
+        first, count, anchor, hashes = split_hot(data, often > hot, first, count, anchor, hashes, length)
         doc = np.searchsorted(offsets, first, "right") - 1
         start = first - offsets[doc]
         known = np.where(missing, np.iinfo(np.int64).min, ids)[doc]
@@ -321,6 +352,8 @@ def removed_starts(found: DataFrame, length: int) -> DataFrame:
             who, run_size, lead = own[owner[begin_run][is_later]], run_size[is_later], offset[begin_run][is_later]
             gone.append(np.stack([source[who], numbers[who, 0], numbers[who, 2] + lead, run_size], 1))
             at = stop
+        del data, numbers, hashes, sizes, first, place, count
+        trim()
         every = np.concatenate(gone)
         every = every[np.argsort(every[:, 0], kind="stable")]
         cuts = np.searchsorted(every[:, 0], np.arange(len(rows) + 1))
