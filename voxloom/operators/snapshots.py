@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.pixels import single
 from voxloom.operators.fusion import finalize, merge
+from voxloom.operators.selection import snapshot_frames
 from voxloom.operators.semantics import AGREEMENT, CONFIDENCE
 
 
@@ -27,6 +28,16 @@ def map_snapshots(frame_partials: DataFrame, frames: list[int], frame: str = "fr
     return finalize(merge(spread, by=["snapshot_frame"]), by=["snapshot_frame"])
 
 
+def whole_snapshots(frame_partials: DataFrame, every: int = 5, frame: str = "frame_idx") -> DataFrame:
+    """``map_snapshots`` over every frame there is: frames count from the
+    table's own first one, and the last one is always exported."""
+    first, last = frame_partials.agg(F.min(frame), F.max(frame)).first()
+    if first is None:
+        raise ValueError("there are no frames")
+    counted = frame_partials.withColumn(frame, (F.col(frame) - F.lit(first)).cast("int"))
+    return map_snapshots(counted, snapshot_frames(last - first, every), frame)
+
+
 def snapshot_metrics(snapshots: DataFrame, least_agreement: float = AGREEMENT, least_confidence: float = CONFIDENCE) -> DataFrame:
     """Voxels and the share that the thresholds call unknown, by snapshot."""
     low = (F.col("semantic_agreement") < single(least_agreement)) | (F.col("mean_model_confidence") < single(least_confidence))
