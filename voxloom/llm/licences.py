@@ -5,7 +5,10 @@ Families are told apart by a multinomial logistic regression over sparse word
 sentences that use the same words (the class "unknown").  A temperature fitted
 on variants kept aside calibrates the probabilities; a paragraph below the
 confidence is unknown.  A family stands only if the paragraph also covers
-enough of one of that family's templates.
+enough of one of that family's templates, or holds one of its exact names.
+
+Notices may be wrapped: the lines between two blank lines are also read as one
+text, in overlapping windows of words, and so are very long lines.
 
 Features are n-grams that hold a key word, so a paragraph without one has no
 features and is unknown by construction: whole texts are searched for key words
@@ -78,6 +81,36 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright under Creative Commons CC0",
     ),
 }
+#: Versions that Creative Commons names end with.
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Short names and SPDX identifiers, which count only word for word.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache Software License 2.0", "Apache 2.0 License"),
+    "MIT": ("MIT License", "MIT Licence", "License: MIT"),
+    "GPL": (
+        "GNU General Public License", "GNU General Public Licence", "GNU GPL", "GPL v2", "GPL v3",
+        *(f"SPDX-License-Identifier: GPL-{v}" for v in ("1.0", "2.0", "3.0")),
+    ),
+    "LGPL": (
+        "GNU Lesser General Public License", "GNU Library General Public License", "GNU Lesser General Public Licence", "GNU LGPL",
+        "LGPL v2", "LGPL v3", *(f"SPDX-License-Identifier: LGPL-{v}" for v in ("2.0", "2.1", "3.0")),
+    ),
+    "BSD": (
+        "BSD License", "BSD 3-Clause", "BSD 2-Clause", "3-Clause BSD License", "2-Clause BSD License",
+        *(f"SPDX-License-Identifier: BSD-{k}-Clause" for k in (1, 2, 3, 4)),
+    ),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    **{
+        family: tuple(
+            name for v in CC_VERSIONS
+            for name in (f"Creative Commons {long} {v}", f"CC {short} {v}", f"SPDX-License-Identifier: CC-{short}-{v}")
+        )
+        for family, long, short in (
+            ("CC-BY", "Attribution", "BY"), ("CC-BY-SA", "Attribution-ShareAlike", "BY-SA"), ("CC-BY-NC", "Attribution-NonCommercial", "BY-NC"),
+        )
+    },
+    "CC0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero", "SPDX-License-Identifier: CC0-1.0"),
+}
 #: Sentences that use the words and name no family.
 ORDINARY = (
     "The driver had no license and the police released him",
@@ -99,9 +132,15 @@ ORDINARY = (
 KEY_WORDS = (
     "license", "licensed", "licence", "licenced", "licenses", "apache", "gnu", "gpl", "lgpl", "bsd", "mozilla", "mpl", "spdx", "creative",
     "commons", "cc", "cc0", "copyright", "copyrighted", "redistribution", "redistribute", "permission", "noncommercial", "sharealike",
+    "mit", "gplv2", "gplv3", "lgplv2", "lgplv3",
 )
 WORDS = re.compile(r"[a-z0-9]+")
+JOINED = re.compile(r"\b(l?gpl)v(?=\d)")
 CONFIDENCE, COVERAGE = 0.5, 0.6
+#: Words of a window and from one to the next: a template lies whole in one.
+WINDOW, STEP = 64, 32
+#: Words around a notice by which it is classified too.
+AROUND = 4
 #: Step of the gradient descent.
 RATE = 8.0
 KEYED = frozenset(KEY_WORDS)
@@ -109,7 +148,8 @@ SEARCH = r"(?i)\b(?:" + "|".join(KEY_WORDS) + r")\b"
 
 
 def words(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """The words; GPLv3 and the like are two."""
+    return WORDS.findall(JOINED.sub(r"\1 v", text.lower()))
 
 
 def grams(tokens: list[str]) -> set[str]:
@@ -152,25 +192,121 @@ class LicenceModel:
 
     def classify(self, paragraph: str, confidence: float = CONFIDENCE, coverage: float = COVERAGE) -> tuple[str, float]:
         """The family and its probability; ("unknown", ...) where no family
-        reaches the confidence or no template of it is covered."""
-        tokens = words(paragraph)
-        p = self.probabilities(tokens)
-        best = int(np.argmax(p))
-        family = self.families[best]
-        if family == UNKNOWN or p[best] < confidence or covered(tokens, family) < coverage:
-            return UNKNOWN, float(p[self.families.index(UNKNOWN)])
-        return family, float(p[best])
+        reaches the confidence or no template of it is covered.  Of a text
+        longer than a window, the window that matches the most word pairs."""
+        found, unknown = [], []
+        for _, tokens in windows(words(paragraph)):
+            p = self.probabilities(tokens)
+            best = int(np.argmax(p))
+            family = self.families[best]
+            unknown.append(float(p[self.families.index(UNKNOWN)]))
+            if family != UNKNOWN and p[best] >= confidence and covered(tokens, family) >= coverage:
+                match = stretch(tokens, family, coverage)
+                found.append((match[0] if match else 0, float(p[best]), family))
+        if not found:
+            return UNKNOWN, min(unknown, default=float(self.probabilities([])[self.families.index(UNKNOWN)]))
+        _, p, family = max(found)
+        return family, p
+
+    def notices(self, lines: list[str], confidence: float = CONFIDENCE, coverage: float = COVERAGE) -> list[tuple[int, str, float]]:
+        """Line, family and probability of the notices in lines without a blank
+        one between, by the line they begin in; one a line and family.
+
+        Lines are classified alone and, for notices over several lines or
+        several in one, windows over all their words are searched for each
+        family's templates.  Of notices that share words, the one that matches
+        the most word pairs stands.
+        """
+        tokens, owner, found = [], [], []
+        for k, line in enumerate(lines):
+            own = words(line)
+            if not KEYED.isdisjoint(own):
+                family, p = self.classify(line, confidence, coverage)
+                match = None if family == UNKNOWN else stretch(own, family, coverage)
+                if match:
+                    found.append((-match[0], len(tokens) + match[1], len(tokens) + match[2], family, p))
+            tokens += own
+            owner += [k] * len(own)
+        for at, window in windows(tokens):
+            for family in self.families[1:]:
+                rest = list(window)
+                while match := stretch(rest, family, coverage):
+                    n, first, end = match
+                    p = self.probabilities(window[max(0, first - AROUND) : end + AROUND])
+                    best = int(np.argmax(p))
+                    if self.families[best] == family and p[best] >= confidence:
+                        found.append((-n, at + first, at + end, family, float(p[best])))
+                    rest[first:end] = [""] * (end - first)
+        taken, kept = np.zeros(len(tokens), bool), {}
+        for _, first, end, family, p in sorted(found, key=lambda x: x[0]):  # stable: lines alone come first
+            if not taken[first:end].any():
+                taken[first:end] = True
+                kept.setdefault((owner[first], family), p)
+        return sorted((k, family, p) for (k, family), p in kept.items())
+
+
+def windows(tokens: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Start and words of each window that holds a key word; the first window of
+    a short text is all of it."""
+    for a in range(0, max(1, len(tokens) - WINDOW + STEP), STEP):
+        if not KEYED.isdisjoint(tokens[a : a + WINDOW]):
+            yield a, tokens[a : a + WINDOW]
+
+
+def pairs(tokens: list[str]) -> set[tuple[str, str]]:
+    return set(zip(tokens, tokens[1:], strict=False))
+
+
+#: Of each family the word pairs of its templates and the words of its exact names.
+PAIRS = {family: [pairs(words(t)) for t in texts if not t.startswith("SPDX")] for family, texts in TEMPLATES.items()}
+EXACT = {
+    family: [words(t) for t in (*NAMES[family], *(t for t in texts if t.startswith("SPDX")))] for family, texts in TEMPLATES.items()
+}
+
+
+def exact(tokens: list[str], name: list[str]) -> int:
+    """Where a name stands in a text word for word; -1 where it does not."""
+    n = len(name)
+    return next((k for k in range(len(tokens) - n + 1) if tokens[k] == name[0] and tokens[k : k + n] == name), -1)
 
 
 def covered(tokens: list[str], family: str) -> float:
-    """The largest share of a template's word pairs that stand in a paragraph."""
-    own = set(zip(tokens, tokens[1:], strict=False))
-    shares = []
-    for template in TEMPLATES[family]:
-        t = words(template)
-        pairs = set(zip(t, t[1:], strict=False))
-        shares.append(len(pairs & own) / max(1, len(pairs)))
-    return max(shares)
+    """The largest share of a template's word pairs that stand in a paragraph;
+    1 where it holds one of the exact names."""
+    if any(exact(tokens, name) >= 0 for name in EXACT[family]):
+        return 1.0
+    own = pairs(tokens)
+    return max(len(t & own) / max(1, len(t)) for t in PAIRS[family])
+
+
+def stretch(tokens: list[str], family: str, coverage: float) -> tuple[int, int, int] | None:
+    """Pairs matched, first word and end of the shortest stretch that holds all
+    word pairs of the family's best matched template or name, if covered."""
+    found = []
+    for name in EXACT[family]:
+        at = exact(tokens, name)
+        if at >= 0:
+            found.append((len(name) - 1, at - len(tokens), at, at + len(name)))
+    places = list(zip(tokens, tokens[1:], strict=False))
+    own = set(places)
+    for template in PAIRS[family]:
+        wanted = template & own
+        if not wanted or len(wanted) / len(template) < coverage:
+            continue
+        last: dict[tuple[str, str], int] = {}
+        best = (len(tokens) + 1, 0, 0)
+        for k, pair in enumerate(places):
+            if pair in wanted:
+                last.pop(pair, None)
+                last[pair] = k  # in the order last seen
+                if len(last) == len(wanted):
+                    first = next(iter(last.values()))
+                    best = min(best, (k + 2 - first, first, k + 2))
+        found.append((len(wanted), -best[0], best[1], best[2]))
+    if not found:
+        return None
+    n, _, first, end = max(found)
+    return n, first, end
 
 
 def train(seed: int = 7, per_notice: int = 16, rounds: int = 120, penalty: float = 1e-3) -> LicenceModel:
@@ -182,6 +318,8 @@ def train(seed: int = 7, per_notice: int = 16, rounds: int = 120, penalty: float
         for notice in ORDINARY if family == UNKNOWN else TEMPLATES[family]:
             for k, tokens in enumerate(variants(notice, per_notice, rng)):
                 sets[k % 4 == 3].append((tokens, label))
+    for family, names in NAMES.items():  # word for word
+        sets[0] += [(words(name), families.index(family)) for name in names]
     features = {g: k for k, g in enumerate(sorted({g for tokens, _ in sets[0] for g in grams(tokens)}))}
 
     def matrix(rows: list[tuple[list[str], int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +350,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_paragraphs, n_licence, families ("name:paragraphs", by name,
     joined by commas) and found (paragraph number, start, family, probability).
 
-    Paragraphs are lines with visible text; whole texts are scanned.  Null and
+    Paragraphs are lines with visible text; a notice over several lines belongs
+    to the one it begins in.  Whole texts are scanned.  Null and
     empty texts have no paragraphs; rows that repeat are scanned each; an empty
     table gives no rows; other columns are ignored.
     """
@@ -226,14 +365,17 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lines = pc.count_substring_regex(texts, r"(?m)^[^\n]*[^\s][^\n]*$").to_numpy(zero_copy_only=False)
             n_licence, families, found = np.zeros(len(texts), np.int64), [""] * len(texts), [[] for _ in range(len(texts))]
             for k in np.flatnonzero(may):
-                own, number, at = [], -1, 0
-                for line in texts[int(k)].as_py().split("\n"):
+                own, number, at, run_of, starts = [], 0, 0, [], []
+                for line in [*texts[int(k)].as_py().split("\n"), ""]:
                     if line.strip(" \t\n\r\f\v"):
-                        number += 1
-                        if search.search(line):
-                            family, p = model.classify(line, confidence, coverage)
-                            if family != UNKNOWN:
-                                own.append({"paragraph": number, "start": at, "family": family, "probability": p})
+                        run_of.append(line)
+                        starts.append(at)
+                    elif run_of:
+                        if any(map(search.search, run_of)):
+                            for n, family, p in model.notices(run_of, confidence, coverage):
+                                own.append({"paragraph": number + n, "start": starts[n], "family": family, "probability": p})
+                        number += len(run_of)
+                        run_of, starts = [], []
                     at += len(line) + 1
                 names = [x["family"] for x in own]
                 found[k], n_licence[k] = own, len(own)
