@@ -147,8 +147,10 @@ def spectra(y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frames_in(n: int) -> int:
-    """Frames of a stream of n samples; one that is short is padded to a frame."""
-    return max(1, 1 + (n * UP // DOWN - FRAME) // HOP)
+    """Frames of a stream of n samples, the last one padded: the first resampled
+    value that the last sample reaches is in it."""
+    values = -(-(n - 1) * UP // DOWN) + 1
+    return max(1, 1 - (FRAME - values) // HOP)
 
 
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +175,11 @@ def log_mels(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     if sum(map(len, streams)) > BATCH_BYTES:
         return [log_mel(np.frombuffer(x, np.uint8)) for x in streams]
     lead = -(-(PHASE_TAPS - 1) // DOWN) * DOWN
-    least = FRAME * DOWN // UP
     parts, starts, counts, at = [bytes([128]) * (PHASE_TAPS - 1)], [], [], 0
     for x in streams:
-        size = -(-max(len(x), least) // DOWN) * DOWN
-        parts += [(x[:1] or b"\x80") * lead, x, b"\x80" * (size - len(x))]
         counts.append(frames_in(len(x)))
+        size = ((counts[-1] - 1) * HOP + FRAME) * DOWN // UP
+        parts += [(x[:1] or b"\x80") * lead, x, b"\x80" * (size - len(x))]
         starts.append((at + lead) * UP // DOWN)
         at += lead + size
     y = resample((np.frombuffer(b"".join(parts), np.uint8).astype(np.float32) - 128) / 128)
