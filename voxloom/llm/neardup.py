@@ -285,8 +285,9 @@ def canopy_links(stars: DataFrame, roots: DataFrame, texts: DataFrame, threshold
     return full.groupBy("lead", "xt", "yt").applyInArrow(lambda group: tile_links(group, threshold), "a long, b long")
 
 
-def linked(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
-    """(node, root) of texts that are linked with others."""
+def linked(texts: DataFrame, bands: DataFrame, threshold: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of nodes whose texts are linked with others; ``known`` are
+    links (a, b) beside those of the texts.  A node may have several texts."""
     spark = texts.sparkSession
     leads = bands.groupBy("band_key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last")
     shared = written(bands.join(leads.select("band_key", "lead"), "band_key"), "shared-bands")
@@ -315,6 +316,8 @@ def linked(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
     links, roots = grow(links, roots, written(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "pairs"))
     # what remains: texts that share a leader and are neither linked nor compared
     more = canopy_links(stars, roots, texts, threshold)
+    if known is not None:
+        more = more.unionByName(known)
     more = written(more if links is None else more.unionByName(links), "links")
     release_shuffles(spark)
     return components(more)
@@ -331,8 +334,9 @@ def near_duplicate_classes(
     Words stand between ASCII white space, ASCII case folded.  A text of fewer
     than ``size`` words is one shingle of all its words; texts without words
     (null, empty, blank) are copies of each other.  Texts are compared whole.
-    Rows without an id get no class; repeated rows are in one class; an empty
-    table gives no rows; other columns are ignored.
+    Rows without an id get no class; repeated rows are in one class, and so is
+    what any text of a repeated id is linked to; an empty table gives no rows;
+    other columns are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
@@ -343,8 +347,11 @@ def near_duplicate_classes(
         release_shuffles(spark)
         copies = written(found.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
         nodes = found.filter("n > 0").join(copies.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d")), "doc_id")
-        texts = written(nodes.filter("digest = d").dropDuplicates(["doc_id"]).select("doc_id", "hashes", "weights"), "texts")
-        roots = linked(texts, written(band_keys(texts, bands, rows), "bands"), threshold)
+        texts = written(nodes.filter("digest = d").dropDuplicates(["doc_id", "digest"]).select("doc_id", "hashes", "weights"), "texts")
+        # an id with several texts links all that its texts link
+        several = found.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 <> d2").select("doc_id")
+        own = found.join(several, "doc_id").join(copies, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        roots = linked(texts, written(band_keys(texts, bands, rows), "bands"), threshold, own.distinct())
         of_text = copies.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
         classes = found.select("doc_id", "digest").join(of_text, "digest").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
         every = rows_of.select("doc_id").join(classes, "doc_id", "left")
