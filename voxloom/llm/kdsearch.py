@@ -31,8 +31,8 @@ NONE = np.iinfo(np.int64).min
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """vec_id, dim and the vector as packed int64 floor(scale * x).
 
-    Vectors that are null, empty, hold a null or a non-finite component, reach
-    beyond 2^40 after scaling, or have no id take no part.
+    Vectors that are null, empty, hold a null or a non-finite component, or have
+    no id take no part; one that reaches 2^63 after scaling is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,11 +41,16 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
             for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if vec_id is None or not values.is_valid or not len(values.values) or values.values.null_count:
                     continue
-                scaled = np.floor(values.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-                if np.isfinite(scaled).all() and np.abs(scaled).max() < 1 << 40:
-                    ids.append(vec_id)
-                    dims.append(len(scaled))
-                    packed.append(scaled.astype("<i8").tobytes())
+                given = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(given).all():
+                    continue
+                with np.errstate(over="ignore"):
+                    scaled = np.floor(given * scale)
+                if np.abs(scaled).max() >= float(1 << 63):
+                    raise ValueError(f"vector {vec_id} does not fit 64 bits after scaling")
+                ids.append(vec_id)
+                dims.append(len(scaled))
+                packed.append(scaled.astype("<i8").tobytes())
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "dim": pa.array(dims, pa.int32()), "vector": binary(packed)})
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -196,7 +201,8 @@ def top_k(
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows of other ids and equal length.  Rows that take no part are listed in
-    ``quantised``.  A repeated row is a candidate each time; a repeated query
+    ``quantised``; scores are exact, and one beyond 64 bits among a shard's best
+    is an error.  A repeated row is a candidate each time; a repeated query
     id asks once.  Fewer than ``k`` candidates: all of them.  An empty table or
     one without queries gives no rows; other columns are ignored.
     """
