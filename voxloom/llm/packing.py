@@ -12,6 +12,7 @@ one more is needed, the fullest closes first.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,6 +34,8 @@ SHARD_PIECES = 60_000
 CACHE_WORDS = 300_000
 #: Below this code point, lower case is by character and normalisation changes nothing.
 PLAIN_BELOW = 0x250
+#: Fixed value: what splits normalised text into pre-tokens, as the vocabulary's file has it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_alphabet() -> list[str]:
@@ -44,21 +47,52 @@ def byte_alphabet() -> list[str]:
     return [names[b] if b in names else chr(next(rest)) for b in range(256)]
 
 
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file's texts may be cut at white space and its words
+    lower-cased and split here: the file says so step by step, its model keeps
+    no state between words, and its added tokens are plain strings that hold a
+    character which is no letter, and no white space."""
+    normal = (spec.get("normalizer") or {}).get("normalizers") or []
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model, added = spec.get("model") or {}, spec.get("added_tokens") or []
+    return (
+        [n.get("type") for n in normal] == ["NFC", "Replace", "Lowercase"]
+        and normal[1].get("pattern") == {"Regex": r"\s+"} and normal[1].get("content") == " "
+        and [n.get("type") for n in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and model.get("type") == "BPE" and not model.get("dropout")
+        and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+        and all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in added)
+        and all(t["content"].isascii() and t["content"].isprintable() and " " not in t["content"] and not t["content"].isalpha() for t in added)
+    )
+
+
 class WordTokenizer:
     """Ids of a whole text from a cache of its distinct words.
 
     The vocabulary's pre-tokens never hold white space, so a text's ids are
     those of its white-space chunks one after another.  Chunks of plain letters
-    go to the model directly; any other chunk takes the full tokenizer.
+    go to the model directly; any other chunk takes the full tokenizer, as one
+    with an added token does.  A file that is not of this kind (see
+    ``splits_at_blanks``) has every whole text encoded by the library.
+
+    Ids are those of the library as the file sets it up: added tokens in a text
+    are found.  ``special_as_text`` makes them ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.full.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_chunks = splits_at_blanks(spec)
+        self.find = regex.compile(SPLIT).findall
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = regex.compile("|".join(map(regex.escape, added)) if added else r"(?!)").search
         self.model = self.full.model
         self.letters = byte_alphabet()
         self.known: dict[str, bytes] = {"": b""}
@@ -84,16 +118,19 @@ class WordTokenizer:
     def chunk(self, chunk: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not chunk.isascii() and (ord(max(chunk)) >= PLAIN_BELOW or "İ" in chunk or "\x85" in chunk or "\xa0" in chunk):
-            return self.whole(chunk)
+            return self.keep(chunk, self.whole(chunk))
         lower = chunk.lower()
         if lower.isalpha():
             return self.word(lower)
-        if not lower.isprintable():
-            return self.whole(chunk)
+        if not lower.isprintable() or self.added(chunk):
+            return self.keep(chunk, self.whole(chunk))
         return self.keep(chunk, b"".join([self.word(piece) for piece in self.find(lower)]))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and ids a text."""
+        if not self.by_chunks:
+            each = [np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.array([len(x) for x in each], np.int64)
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy().astype(np.int64)
         encoded = split.flatten().dictionary_encode()
@@ -128,28 +165,27 @@ def token_pieces(
 
     A document is its ids and then ``end_id``; only one longer than
     ``capacity`` is cut, into pieces of that length and a shorter last one.
-    Null and empty texts are the single ``end_id``.
+    Null and empty texts are the single ``end_id``.  Added tokens in a text
+    have their own ids, as the library gives them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
-        tail = np.array([end_id], "<u4")
         for block in blocks(batches, "text"):
             ids, counts = tokenizer.texts(block.column(1))
-            out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            end = 0
-            for doc_id, n in zip(block.column(0).to_pylist(), counts.tolist(), strict=True):
-                own = np.concatenate([ids[end : end + n], tail])
-                end += n
-                for piece, start in enumerate(range(0, len(own), capacity)):
-                    part = own[start : start + capacity]
-                    out["doc_id"].append(doc_id)
-                    out["piece"].append(piece)
-                    out["start"].append(start)
-                    out["length"].append(len(part))
-                    out["ids_crc32"].append(zlib.crc32(part.tobytes()))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+            raw = memoryview(np.insert(ids, np.cumsum(counts), end_id).astype("<u4").tobytes())
+            sizes = counts + 1
+            first = np.cumsum(sizes) - sizes
+            n_pieces = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), n_pieces)
+            piece = ragged(np.zeros(len(sizes), np.int64), n_pieces)
+            start = piece * capacity
+            length = np.minimum(sizes[doc] - start, capacity)
+            begin = 4 * (first[doc] + start)
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+            columns = {"doc_id": block.column(0).take(pa.array(doc)), "piece": pa.array(piece, pa.int32())}
+            columns |= {"start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
