@@ -8,12 +8,15 @@
    word of the corpus meets in one bucket and is encoded there once.
 3. *Join back*: the ids return to the blocks that asked for them.
 4. *Reassemble*: each block lays the ids of its words along its positions;
-   decoding looks each id up in the token-byte table.
+   decoding joins the ids with the token-byte table.  That table is as long as
+   the rank file, so it is the build side that every worker holds once, and the
+   probe is one gather of offsets and one of bytes for a block.
 
 A word that fills a third of the corpus is still one dictionary entry a block,
-so no key is hot.  The explode step runs twice (once for each side of the last
-join) in place of storing the corpus; its block key is a digest of the rows in
-the block, so sides that do not match raise an error and never mix.
+so no key is hot.  Words go to buckets whose number follows the bytes of the
+texts, so no bucket grows with the input.  The explode step runs twice (once for
+each side of the last join) in place of storing the corpus; rows that a rerun
+task could see in another order are written first (``steady``).
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, blocks, buckets, byte_buffers, ragged, text_rows, trim
+from voxloom.llm.common import binary, blocks, bucket_count, by_bucket, byte_buffers, ragged, steady, text_rows, trim
 
 EXPLODE_BYTES = 8 << 20
+#: Fixed value: the pre-token pattern whose texts may be cut before blanks; with any other, texts are matched whole.
+CUT_BEFORE_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A pattern that takes any text as one pre-token.
+WHOLE = r"(?s:.+)"
 #: White space of Unicode, as the pre-token pattern's \s has it.
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Where cutting before each blank could split one run of white space in two.
@@ -49,15 +57,46 @@ def load_encoding(path: str, pattern: str):
     return tiktoken.Encoding("bytebpe", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+@cache
+def word_encoder(path: str):
+    """Ids of one pre-token; a worker loads a rank file once."""
+    return load_encoding(path, WHOLE).encode_ordinary
+
+
+@cache
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table by id: where a token's bytes begin, how many they
+    are (-1: there is no such id), and the bytes of all tokens."""
+    ranks = load_ranks(path)
+    size = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+    size[list(ranks.values())] = [len(token) for token in ranks]
+    by_id = sorted(ranks, key=ranks.get)
+    return np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), size, np.frombuffer(b"".join(by_id), np.uint8)
+
+
+def joined_bytes(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids joined with the token-byte table: bytes of all one after another
+    and how many each has.  An id that the table does not hold is an error."""
+    start, size, data = token_bytes(path)
+    known = (ids >= 0) & (ids < len(size))
+    if not known.all() or (size[ids] < 0).any():
+        raise ValueError("an id is not in the token-byte table")
+    return data[ragged(start[ids], size[ids])], size[ids]
+
+
 def explode(texts: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pre-tokens, their indexes along all texts, and pre-tokens a text.
 
     A pre-token never runs from visible text into white space, so a text cut
     before each blank falls into the same pre-tokens, except where a run of
-    white space has two blanks to cut at; such texts are matched whole.
+    white space has two blanks to cut at; such texts are matched whole, as all
+    are if ``pattern`` is not CUT_BEFORE_BLANKS.
     """
     n = len(texts)
-    whole = pc.match_substring_regex(texts, LONG_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+    if pattern.pattern == CUT_BEFORE_BLANKS:
+        whole = pc.match_substring_regex(texts, LONG_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+    else:
+        whole = np.ones(n, bool)
     pieces = pc.split_pattern(texts, " ")
     offsets = pieces.offsets.to_numpy().astype(np.int64)
     first = offsets[:-1]
@@ -73,7 +112,8 @@ def explode(texts: pa.Array, pattern) -> tuple[list[str], np.ndarray, np.ndarray
         flat.extend([words.setdefault(w, len(words)) for w in found])
 
     find = pattern.findall
-    for piece in encoded.dictionary.to_numpy(zero_copy_only=False).tolist():
+    spaced_too = [] if whole.all() else encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    for piece in spaced_too:
         put([" " + piece] if piece.isalpha() else find(" " + piece))
     spaced = len(starts)
     heads = encoded.dictionary.take(encoded.indices.take(pa.array(first))).to_pylist()
@@ -192,11 +232,11 @@ def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFr
     return docs.mapInArrow(run, DOC_SIDE if side == "docs" else WORD_SIDE)
 
 
-def coded(words: DataFrame, path: str, pattern: str, n_buckets: int) -> DataFrame:
+def coded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
     """Step 2: each distinct word of a bucket is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoding(path, pattern)._encode_single_piece
+        encode = word_encoder(path)
         known: dict[str, np.ndarray] = {}
         bucket = None
         for batch in batches:
@@ -220,8 +260,7 @@ def coded(words: DataFrame, path: str, pattern: str, n_buckets: int) -> DataFram
                 out["codes"].append(pack_numbers(np.array(codes)))
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32()) if k == "n" else binary(v) for k, v in out.items()})
 
-    dealt = words.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, CODE_SIDE)
+    return by_bucket(words, n_buckets).sortWithinPartitions("bucket").mapInArrow(run, CODE_SIDE)
 
 
 def encode_decode(
@@ -238,10 +277,10 @@ def encode_decode(
     other columns, whatever their names, are ignored.  A text of any length is
     encoded whole; one longer than a block is a block of its own.
     """
-    rows = text_rows(docs, id_col, text_col)
-    n_buckets = buckets(docs.sparkSession)
+    rows = steady(text_rows(docs, id_col, text_col))
+    n_buckets = bucket_count(rows)
     left = exploded(rows, pattern, n_buckets, "docs")
-    right = coded(exploded(rows, pattern, n_buckets, "words"), path, pattern, n_buckets)
+    right = coded(exploded(rows, pattern, n_buckets, "words"), path, n_buckets)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         schema += ", ids array<int>, decoded binary"
@@ -261,9 +300,6 @@ def encode_decode(
         at[slot], size[slot] = first, count
         if (at < 0).any():
             raise RuntimeError("the two readings of the documents differ: a block lacks words")
-        table = [b""] * (max(ranks.values(), default=-1) + 1) if (ranks := load_ranks(path)) else []
-        for token, rank in ranks.items():
-            table[rank] = token
         out = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
         for row in own.to_pylist():
             ids = np.frombuffer(row["ids"], "<i8")
@@ -276,7 +312,7 @@ def encode_decode(
                 here = positions[end : end + n]
                 end += n
                 tokens = code[ragged(at[here], size[here])]
-                decoded = b"".join(map(table.__getitem__, tokens.tolist()))
+                decoded = joined_bytes(tokens.astype(np.int64), path)[0].tobytes()
                 out["doc_id"].append(None if null else doc_id)
                 out["n_tokens"].append(len(tokens))
                 out["ids_sha256"].append(hashlib.sha256(tokens.tobytes()).hexdigest())
@@ -307,22 +343,16 @@ def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
     array that holds a null or an id outside the table is an error.  Rows with
     equal ids and equal arrays are decoded each.
     """
-    spark = ids.sparkSession
-    tokens: list[bytes | None] = []
-    for token, rank in sorted(load_ranks(path).items(), key=lambda x: x[1]):
-        tokens.extend([None] * (rank - len(tokens)))
-        tokens.append(token)
-    shared = spark.sparkContext.broadcast(tokens)
-
-    def run(batches):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in batch.column(1).to_pylist():
-                parts = [shared.value[k] if k is not None and 0 <= k < len(shared.value) else None for k in row or []]
-                if None in parts:
-                    raise ValueError("an id is not in the token-byte table")
-                found.append(b"".join(parts))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "decoded": binary(found)})
+            arrays = batch.column(1).fill_null([])
+            flat = arrays.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, sizes = joined_bytes(flat, path)
+            token_ends = np.concatenate([[0], np.cumsum(sizes)])
+            counts = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int64)
+            ends, raw = token_ends[counts].tolist(), data.tobytes()
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "decoded": binary([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])})
 
     rows = ids.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<long>").alias("ids"))
     return rows.mapInArrow(run, "doc_id long, decoded binary")

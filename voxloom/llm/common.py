@@ -86,10 +86,32 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def buckets(spark: SparkSession) -> int:
-    """Partitions of a packed shuffle; follows the session's setting, which is
-    sized to the input."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text whose keys a bucket of a packed shuffle holds: it fits a worker at any size of the input.
+BUCKET_TEXT = 16 << 20
+
+
+def bucket_count(rows: DataFrame, text_col: str = "text") -> int:
+    """Buckets of a packed shuffle over the texts of ``rows``: a power of 2 that
+    follows their bytes, which are counted first."""
+    n_bytes = rows.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(8, 1 << max(0, -(-n_bytes // BUCKET_TEXT) - 1).bit_length())
+
+
+def by_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Each bucket in a partition of its own, so that no two large ones share a task."""
+    return rows.repartitionById(n_buckets, F.col("bucket"))
+
+
+def steady(rows: DataFrame) -> DataFrame:
+    """``rows`` that a rerun task reads in the same order.
+
+    What is read twice has to fall into the same blocks.  Files do; rows behind
+    a shuffle may arrive in another order after an executor is lost, so they
+    are written first.
+    """
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        return written(rows, "steady")
+    return rows
 
 
 def byte_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,9 @@ rows, so hundreds of millions of them cost a few thousand rows; a key that is
 everywhere is one number a block.  The answer meets the block's texts again
 (shuffled once, compressed), where the keys are computed anew, not stored.
 
-The block's key is a digest of its rows, so readings that differ cannot mix.
+The block's key is a digest of its rows, so readings that differ cannot mix;
+``rows`` have to be ``steady``, so that they do not differ.  Blocks that are
+equal row for row share a key and both get the answers.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxloom.llm.bytebpe import block_key
-from voxloom.llm.common import BLOCK_BYTES, binary, blocks, byte_buffers, trim
+from voxloom.llm.common import BLOCK_BYTES, binary, blocks, by_bucket, byte_buffers, trim
 
 #: (bytes, offsets) of a block -> its distinct keys in rising order, a count of
 #: each, and whatever else ``finish`` wants of the way there.
@@ -103,7 +105,7 @@ def key_blocks(rows: DataFrame, keys: Keys, n_buckets: int, limit: int) -> DataF
     return rows.mapInArrow(run, "block binary, bucket int, n int, keys binary, counts binary")
 
 
-def totals(sent: DataFrame) -> DataFrame:
+def totals(sent: DataFrame, n_buckets: int) -> DataFrame:
     """(block, bucket, n, totals): the answers, in the order of the keys sent."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -129,7 +131,7 @@ def totals(sent: DataFrame) -> DataFrame:
             }
         )
 
-    return sent.groupBy("bucket").applyInArrow(run, "block binary, bucket int, n int, totals binary")
+    return by_bucket(sent, n_buckets).groupBy("bucket").applyInArrow(run, "block binary, bucket int, n int, totals binary")
 
 
 def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -154,5 +156,5 @@ def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int
             trim()
         return pa.concat_tables(out)
 
-    answers = totals(key_blocks(rows, keys, n_buckets, limit))
+    answers = totals(key_blocks(rows, keys, n_buckets, limit), n_buckets)
     return text_blocks(rows, limit).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -13,7 +13,9 @@
    texts under one leader that are still apart meet in tiles, where only links
    become rows.  A pair is skipped only where its texts are already linked
    through others, so every pair of candidates is decided.
-5. Linked texts form classes by alternating large-star and small-star rounds.
+5. Linked texts form classes by alternating large-star and small-star rounds;
+   each step's links are edges between the classes so far, so later steps work
+   on what they join and not on all links again.
 
 The idf is damped (1 for a shingle that is everywhere, 1 + ``IDF_SPAN`` for one
 that stands alone): with the plain logarithm the edits of a copy in a large
@@ -30,17 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, buckets, passing_tables, release_shuffles, text_rows, trim, written
+from voxloom.llm.common import binary, bucket_count, passing_tables, release_shuffles, steady, text_rows, trim, written
 from voxloom.llm.corpuscount import with_totals
 from voxloom.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 IDF_SPAN = 0.1
-#: Hashes are shuffled to be counted: a byte less of each is a byte less to move.
+#: Hashes are shuffled to be counted: a byte less of each is a byte less to move.  Of n distinct shingles a given
+#: one shares its 56 bits with another at a chance of n / 2^56: one in 70,000 for 10^12 shingles.
 KEPT_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Texts of either role in a tile of a canopy, and shingles of a matrix slab.
 TILE, SLAB = 512, 4096
+#: Parts that the texts of one leader are dealt to.
+SALTS = 16
 #: Cells of the sampling matrix computed at a time.
 CELLS = 1 << 18
 FOLD = np.arange(256, dtype=np.uint8)
@@ -200,6 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges are only ever rows."""
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
+    if current.isEmpty():
+        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -276,7 +283,10 @@ def canopy_links(stars: DataFrame, roots: DataFrame, texts: DataFrame, threshold
     mixed = canopies.filter("largest < n").select(
         "lead", "main", F.ceil(F.col("n") / TILE).cast("int").alias("ys"), F.ceil((F.col("n") - F.col("largest")) / TILE).cast("int").alias("xs")
     )
-    placed = members.join(mixed, "lead").withColumn("h", F.xxhash64("doc_id"))
+    # a leader may have a large share of all texts, so its texts are dealt to SALTS parts
+    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashed = members.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.shiftright("h", 32), F.lit(SALTS)).cast("int"))
+    placed = hashed.join(salted, ["lead", "salt"])
     x = placed.filter("root <> main").withColumn("xt", F.pmod("h", F.col("xs"))).withColumn("yt", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
     y = placed.withColumn("yt", F.pmod("h", F.col("ys"))).withColumn("xt", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
     columns = ["lead", F.col("xt").cast("int").alias("xt"), F.col("yt").cast("int").alias("yt"), "doc_id", "root"]
@@ -301,26 +311,34 @@ def linked(texts: DataFrame, bands: DataFrame, threshold: float, known: DataFram
         marked = pairs.join(one, "a", "left").join(two, "b", "left")
         return marked.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    def grow(links: DataFrame | None, roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """Links and roots after verifying ``pairs``."""
-        if pairs.isEmpty():
-            return links, roots
-        found = verified(pairs, texts, threshold)
-        links = written(found if links is None else found.unionByName(links), "links")
+    def grow(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Roots after further links: only classes that the links join are
+        worked on, as edges between their roots."""
+        held = written(links, f"{name}-links")
+        edges = rooted(held, roots).filter("a <> b")
         release_shuffles(spark)
-        return links, written(components(links), "roots")
+        moved = written(components(edges), f"{name}-moved")
+        onto = moved.select(F.col("node").alias("root"), F.col("root").alias("onto"))
+        kept = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
+        return written(kept.unionByName(moved), f"{name}-roots")
+
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes as pairs of their roots."""
+        one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        both = pairs.join(one, "a", "left").join(two, "b", "left")
+        return both.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
 
     # each text with the least of its leaders, then with its other leaders where still apart
     first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    links, roots = grow(None, none, first)
-    links, roots = grow(links, roots, written(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "pairs"))
+    roots = grow(none, verified(first, texts, threshold), "first")
+    others = written(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "others")
+    roots = grow(roots, verified(others, texts, threshold), "second")
     # what remains: texts that share a leader and are neither linked nor compared
     more = canopy_links(stars, roots, texts, threshold)
     if known is not None:
         more = more.unionByName(known)
-    more = written(more if links is None else more.unionByName(links), "links")
-    release_shuffles(spark)
-    return components(more)
+    return grow(roots, more, "last")
 
 
 def near_duplicate_classes(
@@ -341,9 +359,9 @@ def near_duplicate_classes(
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     spark = docs.sparkSession
-    rows_of = text_rows(docs, id_col, text_col)
+    rows_of = steady(text_rows(docs, id_col, text_col))
     with passing_tables(spark) as result:
-        found = written(weighted_shingles(rows_of, docs.count(), buckets(spark), size, threshold, idf_span), "shingles")
+        found = written(weighted_shingles(rows_of, rows_of.count(), bucket_count(rows_of), size, threshold, idf_span), "shingles")
         release_shuffles(spark)
         copies = written(found.groupBy("digest").agg(F.min("doc_id").alias("rep")), "copies")
         nodes = found.filter("n > 0").join(copies.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d")), "doc_id")
@@ -360,9 +378,11 @@ def near_duplicate_classes(
 
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the least of their class; rows without
-    an id stay.  Of rows that repeat an id, one stays."""
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    if docs.groupBy(id_col).count().filter((F.col("count") > 1) & F.col(id_col).isNotNull()).isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    an id stay.  Of rows that repeat an id, one stays.  Columns may have any
+    names; an empty table gives no rows."""
+    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
+    given = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    kept = given.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    if not given.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty():
+        kept = kept.filter("id is not null").dropDuplicates(["id"]).unionByName(kept.filter("id is null"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

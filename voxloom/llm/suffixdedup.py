@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, buckets, passing_tables, ragged, release_shuffles, text_rows, trim, written
+from voxloom.llm.common import binary, bucket_count, by_bucket, passing_tables, ragged, release_shuffles, steady, text_rows, trim, written
 from voxloom.llm.corpuscount import text_blocks, unpack_texts, with_totals
 from voxloom.llm.hashing import BASE, byte_table, mix, span_hashes
 
@@ -316,7 +316,7 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
     return with_totals(rows, keys, finish, CONTEXTS, n_buckets)
 
 
-def removed_starts(found: DataFrame, length: int) -> DataFrame:
+def removed_starts(found: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """(block, gone): starts that are not the earliest of their string."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -365,7 +365,7 @@ def removed_starts(found: DataFrame, length: int) -> DataFrame:
             }
         )
 
-    return found.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, REMOVED)
+    return by_bucket(found.filter("bucket >= 0"), n_buckets).groupBy("bucket").applyInArrow(run, REMOVED)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -384,11 +384,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     """
     if not GRAM < length < 256:
         raise ValueError(f"length must be above {GRAM} and below 256")
-    rows = text_rows(docs, id_col, text_col)
+    rows = steady(text_rows(docs, id_col, text_col))
+    n_buckets = bucket_count(rows)
     with passing_tables(docs.sparkSession) as result:
-        found = written(contexts(rows, buckets(docs.sparkSession), length), "contexts")
+        found = written(contexts(rows, n_buckets, length), "contexts")
         release_shuffles(docs.sparkSession)
-        gone = result(removed_starts(found, length).unionByName(found.filter("bucket < 0").select("block", "gone")), "gone")
+        gone = result(removed_starts(found, n_buckets, length).unionByName(found.filter("bucket < 0").select("block", "gone")), "gone")
     release_shuffles(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
@@ -438,19 +439,29 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs``, all columns, with what ``cut_repeats`` keeps as
     their text (a character that a cut leaves incomplete goes too) and, if there
-    is one, ``chars_col`` counted anew.  Ids must not repeat; rows without an id
-    keep their text."""
-    cut = cut_repeats(docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()), length, id_col, text_col)
+    is one, ``chars_col`` counted anew.
+
+    Null texts stay null, empty ones empty; rows without an id keep their text.
+    Rows that repeat an id and text are cut alike; an id with several texts is
+    an error.  Columns may have any names; an empty table gives no rows.
+    """
+    given = docs.select(F.struct("*").alias("row"))
+    row_id, row_text = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
+    own = given.select(row_id.alias("doc_id"), row_text.alias("text")).filter("doc_id is not null")
+    cut = cut_repeats(own, length)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__id", "__kept"])
-
-    kept = cut.filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "__id long, __kept string")
-    joined = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left")
-    text = F.coalesce("__kept", text_col)
-    changed = {text_col: text}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "kept"])
+
+    decoded = cut.filter("n_removed > 0").select("doc_id", "kept").mapInArrow(decode, "id long, kept string")
+    least, most = F.min("kept"), F.max("kept")
+    several = F.raise_error(F.lit("an id has several texts: repeats can only be cut where ids tell texts apart"))
+    kept = decoded.groupBy("id").agg(F.when(least == most, least).otherwise(several.cast("string")).alias("kept"))
+    joined = given.join(kept, row_id == F.col("id"), "left")
+    changed = {text_col: F.coalesce("kept", row_text.cast("string"))}
     if chars_col in docs.columns:
-        changed[chars_col] = F.when(F.col("__kept").isNull(), F.col(chars_col)).otherwise(F.length("__kept").cast(docs.schema[chars_col].dataType))
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+        counted = F.length("kept").cast(docs.schema[chars_col].dataType)
+        changed[chars_col] = F.when(F.col("kept").isNull(), F.col("row")[chars_col]).otherwise(counted)
+    return joined.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
