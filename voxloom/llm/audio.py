@@ -11,7 +11,10 @@ bytes, and analysed:
   rises above the high threshold and lasts while it stays above the low one;
   thresholds follow the stream's own energy quantiles;
 * each segment's log-mel frames are averaged into a fixed number of time steps,
-  so every segment is one tensor of shape (STEPS, MELS) with its time span.
+  so every segment is one tensor of shape (STEPS, MELS) with its time span;
+* the segments of a block of documents are stored as one Arrow stream of spans
+  and a fixed-shape tensor column, which is read back: descriptions come from
+  what was read.
 
 Samples pass in pieces of bounded size with the overlap that filters and frames
 need, so a very long stream takes bounded memory beside its own bytes.
@@ -251,41 +254,56 @@ def describe(starts: np.ndarray, ends: np.ndarray, tensors: np.ndarray) -> str:
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string"
+    "media_bytes long, media_sha256 string, feature string, spans array<struct<start_s: double, end_s: double>>"
 )
+LONGS = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes")
+
+
+def stored_tensors(starts: list[np.ndarray], ends: list[np.ndarray], tensors: list[np.ndarray]) -> tuple[pa.ListArray, np.ndarray]:
+    """Segments of several streams, stored as one tensor column and read back:
+    a list of spans for each stream, and the tensors of all."""
+    counts = [len(x) for x in starts]
+    batch = tensor_batch(np.concatenate([np.zeros(0), *starts]), np.concatenate([np.zeros(0), *ends]), np.concatenate([np.zeros((0, STEPS, MELS), np.float32), *tensors]))
+    read = from_ipc(to_ipc(batch)).combine_chunks()
+    spans = pa.StructArray.from_arrays([read[c].combine_chunks() for c in ("start_s", "end_s")], ["start_s", "end_s"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), spans)
+    column = read["log_mel"].combine_chunks()
+    return lists, column.to_numpy_ndarray() if len(column) else np.zeros((0, STEPS, MELS), np.float32)
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Stores each whole text as audio, reads it back and describes it.
 
-    Returns the columns of SCHEMA and, with ``keep_media``, media (the stored
-    WAV bytes) and tensors (an Arrow stream of start_s, end_s and fixed-shape
-    log_mel; see ``from_ipc``).  Null texts are empty texts, which are one unit
-    of padding.  Equal texts give equal values, repeated rows one result each,
-    an empty table none; other columns are ignored.
+    Returns the columns of SCHEMA (spans: the time span of each tensor) and,
+    with ``keep_media``, media (the stored WAV bytes) and tensors (an Arrow
+    stream of start_s, end_s and fixed-shape log_mel; see ``from_ipc``).  Null
+    texts are empty texts, which are one unit of padding.  Equal texts give
+    equal values, repeated rows one result each, an empty table none; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 4 << 20):
             data, offsets = byte_buffers(block.column(1))
             raw = data.tobytes()
-            out: dict[str, list] = {x.split()[0]: [] for x in SCHEMA.split(", ")}
-            media_column, tensors = [], []
             stored = [to_wav(padded(raw[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            out["n_bytes"] = np.diff(offsets).tolist()
-            for media, (payload, starts, ends, tensor) in zip(stored, features(stored), strict=True):
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                out["media_bytes"].append(len(media))
-                out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                out["feature"].append(describe(starts, ends, tensor))
-                if keep_media:
-                    media_column.append(media)
-                    tensors.append(to_ipc(tensor_batch(starts, ends, tensor)))
-            columns = {"doc_id": block.column(0)} | {k: pa.array(v, pa.int64() if k[-6:] in ("_bytes", "_crc32") or k == "tail_crc32" else pa.string()) for k, v in out.items() if k != "doc_id"}
+            payloads, starts, ends, tensors = zip(*features(stored), strict=True)
+            spans, read = stored_tensors(starts, ends, tensors)
+            edges = spans.offsets.to_pylist()
+            out = {
+                "n_bytes": np.diff(offsets).tolist(),
+                "payload_bytes": [len(x) for x in payloads],
+                "payload_sha256": [hashlib.sha256(x).hexdigest() for x in payloads],
+                "tail_crc32": [zlib.crc32(x[-32:]) for x in payloads],
+                "media_bytes": [len(x) for x in stored],
+                "media_sha256": [hashlib.sha256(x).hexdigest() for x in stored],
+                "feature": [describe(s, e, read[a:b]) for s, e, a, b in zip(starts, ends, edges, edges[1:], strict=False)],
+            }
+            columns = {"doc_id": block.column(0)} | {k: pa.array(v, pa.int64() if k in LONGS else pa.string()) for k, v in out.items()}
+            columns["spans"] = spans
             if keep_media:
-                columns |= {"media": binary(media_column), "tensors": binary(tensors)}
+                own = [to_ipc(tensor_batch(s, e, read[a:b])) for s, e, a, b in zip(starts, ends, edges, edges[1:], strict=False)]
+                columns |= {"media": binary(stored), "tensors": binary(own)}
             yield pa.RecordBatch.from_pydict(columns)
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, SCHEMA + (", media binary, tensors binary" if keep_media else ""))
