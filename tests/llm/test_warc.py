@@ -51,13 +51,16 @@ def test_faults(spark):
 def test_levels_agree_with_a_plain_tree(spark):
     import hashlib
 
-    leaves = warc.ranges(pages(spark)).filter("file_no = 1").orderBy("at").collect()
-    level = [(r["at"], r["start"], r["end"], r["hash"]) for r in leaves]
+    records = warc.ranges(pages(spark)).withColumn("n", F.col("end") - F.col("start")).withColumn("place", warc.place(F.col("page_id"), F.col("hash")))
+    rows = records.filter("file_no = 1").orderBy("at").collect()
+    level = {r["page_id"] - warc.FILE_PAGES: (r["end"] - r["start"], r["hash"]) for r in rows}
     for _ in range(warc.FILE_LEVELS):
-        groups = [level[k : k + warc.FANOUT] for k in range(0, len(level), warc.FANOUT)]
-        level = [(k, g[0][1], g[-1][2], hashlib.sha256(";".join(":".join(map(str, n)) for n in g).encode()).hexdigest()) for k, g in enumerate(groups)]
-    root = warc.merkle_levels(warc.ranges(pages(spark)))[warc.FILE_LEVELS].filter("file_no = 1").first()
-    assert (root["start"], root["end"], root["hash"]) == level[0][1:]
+        above = {}
+        for at in sorted(level):
+            above.setdefault(at // warc.FANOUT, []).append((at, *level[at]))
+        level = {up: (sum(n for _, n, _ in own), hashlib.sha256(";".join(":".join(map(str, x)) for x in own).encode()).hexdigest()) for up, own in above.items()}
+    root = warc.merkle_levels(records, ["file_no"])[warc.FILE_LEVELS].filter("file_no = 1").collect()
+    assert len(root) == 1 and level == {root[0]["at"]: (root[0]["length"], root[0]["hash"])}
 
 
 def test_query(spark, sf_dir, duck):

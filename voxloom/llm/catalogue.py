@@ -73,14 +73,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of the WARC files of all pages: in it one byte of every
-    97th page's record is another, and every 389th page's record is empty."""
-    from voxloom.llm.warc import audit, page_records
-
-    primary = page_records(table(spark, sf_dir, "pages"))
-    flipped = F.concat(F.substring("record", 1, 12), F.unhex(F.lit("00")), F.expr("substring(record, 14)"))
-    record = F.when(F.col("page_id") % 389 == 7, F.unhex(F.lit(""))).when((F.col("page_id") % 97 == 13), flipped).otherwise(F.col("record"))
-    return audit(primary, primary.withColumn("record", record))
+    """Audits a replica of the WARC files of all pages, both as bytes that were
+    written and are parsed: in the replica one byte of every 97th page's record
+    is another, and every 389th page's record is gone."""
+    from voxloom.llm.common import passing_tables, written
+    from voxloom.llm.warc import audit_files, damaged, page_records, warc_files
+
+    with passing_tables(spark):
+        files = written(warc_files(page_records(table(spark, sf_dir, "pages"))), "warc")
+        replica = damaged(files, F.col("page_id") % 389 == 7, F.col("page_id") % 97 == 13)
+        return audit_files(files, replica)
 
 
 OP3_SQL = """
