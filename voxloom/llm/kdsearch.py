@@ -1,12 +1,16 @@
 """Exact top-k search by inner product with a KD-tree for each shard.
 
-Vectors are dealt by hash of their id to shards of about ``shard_rows``; each
-shard is one KD-tree of median splits with tight bounding boxes, kept as one
-packed row.  Blocks of queries meet every tree (a stated query set against all
-rows): for a query, nodes are opened best first by the largest inner product
-their box allows, and one whose bound is below the query's kth score is never
-opened.  A wave over one shard for each block comes first; the kth scores it
-finds are propagated to the searches of all other shards.
+Vectors are dealt by hash of their id to shards; each shard is one KD-tree of
+median splits with tight bounding boxes, kept as one packed row.  Blocks of
+queries meet every tree (a stated query set against all rows): for a query,
+nodes are opened best first by the largest inner product their box allows, and
+one whose bound is below the query's kth score is never opened.  A wave over one
+shard for each block comes first; the kth scores it finds are propagated to the
+searches of all other shards.
+
+A tree is moved once for each block and a block once for each tree, so both are
+as large as a worker's memory allows (65,536 vectors, 32,768 queries, searched
+512 at a time) and only smaller where that would leave tasks without work.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, written
+from voxloom.llm.common import binary, passing_tables, written
 
-SHARD_ROWS = 4096
+#: Rows of a shard and queries of a block: at most, and least where there are too few for all tasks.
+SHARD_ROWS, LEAST_ROWS = 65_536, 4096
+BLOCK_QUERIES, LEAST_QUERIES = 32_768, 512
 LEAF_ROWS = 64
-BLOCK_QUERIES = 512
 EXACT = float(1 << 53)
 NONE = np.iinfo(np.int64).min
 
@@ -85,6 +90,12 @@ def build(vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray,
     return order, np.array(ranges), np.array(children), np.array(boxes)
 
 
+def parts_of(n: int, most: int, least: int, wanted: int) -> int:
+    """Parts of n rows: of ``most`` rows each, or of fewer (``least`` if there
+    are as many) where that gives up to ``wanted`` parts."""
+    return max(1, -(-n // most), min(-(-n // least), wanted))
+
+
 def search(
     tree: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray
 ) -> list[list[tuple[int, int]]]:
@@ -181,20 +192,22 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
                     np.frombuffer(row["children"], "<i4").reshape(-1, 2),
                     np.frombuffer(row["boxes"], "<i8").reshape(-1, 2, dim),
                 )
+                vectors = np.frombuffer(row["vectors"], wide).reshape(-1, dim).astype(np.int64)
                 query_ids = np.frombuffer(row["query_ids"], "<i8")
-                kth = dict(zip(row["bound_ids"] or [], row["bound_scores"] or [], strict=True))
-                hits = search(
-                    tree, ids, np.frombuffer(row["vectors"], wide).reshape(-1, dim).astype(np.int64), query_ids,
-                    np.frombuffer(row["queries"], "<i8").reshape(-1, dim), k, np.array([kth.get(x, NONE) for x in query_ids.tolist()]),
-                )
-                flat = [(q, s, -i) for q, own in zip(query_ids.tolist(), hits, strict=True) for s, i in own]
-                yield pa.RecordBatch.from_pydict({n: pa.array([x[j] for x in flat], pa.int64()) for j, n in enumerate(("query_id", "score", "vec_id"))})
+                queries = np.frombuffer(row["queries"], "<i8").reshape(-1, dim)
+                known = dict(zip(row["bound_ids"] or [], row["bound_scores"] or [], strict=True))
+                kth = np.array([known.get(x, NONE) for x in query_ids.tolist()], np.int64)
+                for a in range(0, len(query_ids), LEAST_QUERIES):
+                    some = slice(a, a + LEAST_QUERIES)
+                    hits = search(tree, ids, vectors, query_ids[some], queries[some], k, kth[some])
+                    flat = [(q, s, -i) for q, own in zip(query_ids[some].tolist(), hits, strict=True) for s, i in own]
+                    yield pa.RecordBatch.from_pydict({n: pa.array([x[j] for x in flat], pa.int64()) for j, n in enumerate(("query_id", "score", "vec_id"))})
 
     return pairs.mapInArrow(run, HIT)
 
 
 def top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS
+    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None
 ) -> DataFrame:
     """The ``k`` highest integer inner products of each query, ties to the
     smaller id: query_id, rank (from 1), vec_id, score.
@@ -207,15 +220,21 @@ def top_k(
     one without queries gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = written(quantised(vectors, id_col, vector_col, scale), "vectors")
-    n = rows.count()
-    asks = rows.filter(F.col("vec_id") % every == 0)
-    n_asks = asks.count()
-    shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asks // BLOCK_QUERIES))
-    forest = written(trees(rows, shards), "trees")
-    asking = written(query_blocks(asks, n_blocks), "queries")
-    tasks = max(6, min(shards * n_blocks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with passing_tables(spark) as result:
+        rows = written(quantised(vectors, id_col, vector_col, scale), "vectors")
+        n = rows.count()
+        asks = rows.filter(F.col("vec_id") % every == 0)
+        n_asks = asks.count()
+        shards = max(1, -(-n // shard_rows)) if shard_rows else parts_of(n, SHARD_ROWS, LEAST_ROWS, partitions)
+        n_blocks = parts_of(n_asks, BLOCK_QUERIES, LEAST_QUERIES, -(-partitions // shards))
+        forest = written(trees(rows, shards), "trees")
+        asking = written(query_blocks(asks, n_blocks), "queries")
+        return result(ranked(forest, asking, k, shards, n_blocks, max(6, min(shards * n_blocks, 4 * partitions))), "ranked")
+
+
+def ranked(forest: DataFrame, asking: DataFrame, k: int, shards: int, n_blocks: int, tasks: int) -> DataFrame:
+    """The k best rows of each query of all blocks in all trees."""
     # each block against the one shard of its number, then against all others
     first = asking.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int"))
     none = (F.lit(None).cast("array<long>").alias("bound_ids"), F.lit(None).cast("array<long>").alias("bound_scores"))
@@ -234,5 +253,5 @@ def top_k(
     rest = searched(pairs.repartition(tasks, "dim", "shard", "block"), k)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = home.unionByName(rest).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = home.unionByName(rest).withColumn("rank", F.row_number().over(order))
+    return every.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
