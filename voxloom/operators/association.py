@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators.metrics import percentile
+from voxloom.session import saved
+
 
 def time_difference(a: Column, b: Column) -> Column:
     return F.abs(a - b)
@@ -63,12 +66,15 @@ def match_greedy(candidates: DataFrame, seq: str, left: str, right: str, differe
     return candidates.groupBy(seq).applyInPandas(run, candidates.schema)
 
 
-def match_mutual(candidates: DataFrame, seq: str, left: str, right: str, difference: str, save, rounds: int = 1000) -> DataFrame:
+def match_mutual(candidates: DataFrame, seq: str, left: str, right: str, difference: str, save, rounds: int = 50) -> DataFrame:
     """The greedy matching by rounds of mutually best candidates.
 
     In each round a candidate that is best for both its sides is taken and the
     candidates of those sides go.  ``save`` materialises a DataFrame (a written
-    table or a checkpoint), so plans do not grow.
+    table or a checkpoint), so plans do not grow.  Most candidates go in a few
+    rounds; a chain of rising differences would need a round for each pair, so
+    what is left after ``rounds`` goes to ``match_greedy``, which ends the same
+    way: rounds only ever take what the greedy pass takes.
     """
     order = F.struct(difference, left, right)
     rest, taken = save(candidates), None
@@ -82,7 +88,8 @@ def match_mutual(candidates: DataFrame, seq: str, left: str, right: str, differe
         for side in (left, right):
             rest = rest.join(now.select(seq, side), [seq, side], "left_anti")
         rest = save(rest)
-    raise RuntimeError(f"matching needs more than {rounds} rounds")
+    last = match_greedy(rest, seq, left, right, difference)
+    return last if taken is None else taken.unionByName(last)
 
 
 def in_depth_order(pairs: DataFrame, seq: str, depth_t: str, difference: str, left: str, right: str) -> DataFrame:
@@ -97,16 +104,17 @@ def nearest_asof(
     """Each left row with the nearest right row no further than ``tolerance``,
     ties to the first; left rows without one are dropped.
 
-    Left rows beyond the range of the right side go too: its first and last row
+    Equal left rows are answered each.  Left rows beyond the range of the right side go too: its first and last row
     by place in the file (``clip="file"``), its least and largest time ("time"),
     or none ("none").  The nearest within the tolerance is the nearest at all
     whenever that is within it, so a band join finds every candidate.
     """
     carried = [c for c in right.columns if c != seq]
-    pairs = band_join(left, right, left_t, right_t, tolerance, [seq])
+    rows = left.withColumn("__row", F.monotonically_increasing_id())
+    pairs = band_join(rows, right, left_t, right_t, tolerance, [seq])
     gap = time_difference(F.col(left_t), F.col(right_t))
     best = F.min_by(F.struct(*carried), F.struct(gap, F.col(right_idx)))
-    found = pairs.groupBy(seq, *[c for c in left.columns if c != seq]).agg(best.alias("__best"), F.min(gap).alias("__gap"))
+    found = pairs.groupBy("__row", *left.columns).agg(best.alias("__best"), F.min(gap).alias("__gap"))
     if clip != "none":
         ends = {
             "file": (F.min_by(right_t, right_idx), F.max_by(right_t, right_idx)),
@@ -186,4 +194,6 @@ def match_ordered(left: DataFrame, right: DataFrame, seq: str, left_idx: str, le
 def time_statistics(df: DataFrame, difference: str) -> DataFrame:
     """n, mean, max and exact median of a difference, one row."""
     d = F.col(difference)
-    return df.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.max(d).alias("max"), F.median(d).alias("median"))
+    held = saved(df.select(difference), "differences")
+    middle = percentile(held, difference, 0.5, "median")
+    return held.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.max(d).alias("max")).join(middle)

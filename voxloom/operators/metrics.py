@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.checks import positive
 from voxloom.functions.pixels import single, voxel_index
+from voxloom.session import saved
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -69,9 +72,70 @@ def voxel_cells(points: DataFrame, size: float) -> DataFrame:
     return points.select(*[voxel_index(F.col(c), size).alias(f"i{c}") for c in "xyz"]).distinct()
 
 
-def percentile(df: DataFrame, column: str, q: float = 0.98) -> DataFrame:
-    """The exact percentile with linear interpolation, one row."""
-    return df.agg(F.percentile(F.col(column).cast("double"), F.lit(q)).alias("value"))
+def percentile(df: DataFrame, column: str, q: float = 0.98, name: str = "value") -> DataFrame:
+    """The exact percentile with linear interpolation, one row (null where
+    there are no values; null and NaN are none).
+
+    Values are counted, with partial counts on the map side, and dealt by range;
+    the sizes of the ranges (one number a partition) tell in which one a rank
+    lies, and only that one is summed up in order.  No task holds all values.
+    """
+    if not 0 <= q <= 1:
+        raise ValueError("a percentile lies from 0 to 1")
+    spark = df.sparkSession
+    value = F.col(column).cast("double").alias("__v")
+    counts = df.select(value).filter("__v is not null and not isnan(__v)").groupBy("__v").agg(F.count("*").alias("__n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(counts.repartitionByRange(parts, "__v").withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.sum("__n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return spark.createDataFrame([(None,)], f"{name} double")
+    at = q * (total - 1)
+    ranks = (math.floor(at), math.ceil(at))
+
+    def ranked(rank: int) -> float:
+        before = 0
+        for part, n in sizes:
+            if rank < before + n:
+                break
+            before += n
+        upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v"))
+        own = dealt.filter(F.col("__part") == part).withColumn("__upto", upto)
+        return own.filter(F.col("__upto") > rank - before).agg(F.min("__v")).first()[0]
+
+    low = ranked(ranks[0])
+    high = low if ranks[1] == ranks[0] else ranked(ranks[1])
+    return spark.createDataFrame([(low if low == high else (ranks[1] - at) * low + (at - ranks[0]) * high,)], f"{name} double")
+
+
+def experiment_rows(
+    swept: DataFrame, pixel_stride: int, build_seconds: Column, ply_bytes: Column, output_path: Column, notes: Column
+) -> DataFrame:
+    """Rows of a sweep as the experiment table has them (schemas.EXPERIMENT)."""
+    positive("the pixel stride", pixel_stride)
+    size = F.round(ply_bytes.cast("double") / F.lit(float(1 << 20)), 6)
+    return swept.select(
+        "frame_step", "voxel_size_m", F.lit(pixel_stride).alias("pixel_stride"), F.col("selected_frames").cast("int").alias("selected_frames"),
+        "raw_point_count", "downsampled_point_count", "retention_ratio", build_seconds.cast("double").alias("build_time_seconds"),
+        size.alias("ply_size_mb"), output_path.alias("output_path"), notes.alias("notes"),
+    )
+
+
+def report_lines(quality: DataFrame) -> DataFrame:
+    """The row of ``fusion_quality`` as text: place and line; numbers are
+    rounded half to even before they are printed."""
+    n = lambda c: F.format_number(c, 0)
+    share = lambda c: F.format_string("%.2f%%", F.rint(F.col(c) * 10_000) / 100)
+    lines = (
+        F.concat(F.lit("Raw observations: "), n("raw_points")), F.concat(F.lit("Map voxels: "), n("voxels")),
+        F.concat(F.lit("Retention: "), share("retention_ratio")),
+        F.concat(F.lit("Mean observations per voxel: "), F.format_string("%.2f", F.rint(F.col("mean_observations") * 100) / 100)),
+        F.concat(F.lit("Voxels seen more than once: "), share("multi_observation_ratio")),
+        F.concat(F.lit("Mean semantic agreement: "), F.format_string("%.4f", F.rint(F.col("mean_agreement") * 10_000) / 10_000)),
+        F.concat(F.lit("Voxels of low agreement: "), share("low_agreement_ratio")),
+    )
+    return quality.select(F.posexplode(F.array(*lines)).alias("place", "line"))
 
 
 def caption(frame: Column, frames: Column, voxels: Column, points: Column) -> Column:

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.session import saved
+
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "rec_idx", by: list[str] | None = None) -> DataFrame:
     """Adds the place of each row from 0, in each group of ``by``.
 
-    With ``by`` it is a window over each group.  Without, rows are sorted by
-    range and places come from the sizes of the partitions before, so no single
-    task takes all rows.
+    With ``by`` it is a window over each group.  Without, rows are dealt by
+    range and written once with the number of their range; both the places
+    inside a range and the sizes of the ranges before come from that table (a
+    second evaluation would sample other ranges), so no single task takes all
+    rows.  ``order`` has to tell all rows apart for places to be stable.
     """
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = saved(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     # within a range partition a window is local; partition sizes make places global
     local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
