@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.checks import require
@@ -115,10 +115,17 @@ class CoarseRemap:
         planned at all.
         """
         table = F.array(*[F.lit(k).cast("bigint") for k in self.table])
-        known = (F.col(label) >= 0) & (F.col(label) < self.size)
-        at = require(known, F.col(label).cast("int"), "a fine label is outside the table")
+        at = require(self.holds(label), F.col(label).cast("int"), "a fine label is outside the table")
         return df.withColumn(name, F.element_at(table, at + 1))
 
+    def holds(self, label: str = "label") -> Column:
+        """Whether the table has a label."""
+        return (F.col(label) >= 0) & (F.col(label) < self.size)
+
+    def outside(self, df: DataFrame, label: str = "label") -> DataFrame:
+        """The labels that ``remap`` would refuse, null too, and rows of each (n)."""
+        return df.filter(~F.coalesce(self.holds(label), F.lit(False))).groupBy(label).agg(F.count("*").alias("n"))
+
     def coarse_name(self, coarse_id: int) -> str:
         if not 0 <= coarse_id < len(self.names):
             raise ValueError(f"{coarse_id} is not a coarse id")

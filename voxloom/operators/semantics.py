@@ -17,6 +17,8 @@ UNKNOWN_LABEL = 150
 GOLDEN_RATIO = 0.618033988749895
 PALETTE_SATURATION, PALETTE_VALUE, UNKNOWN_GREY = 0.70, 0.95, 0.45
 AGREEMENT, CONFIDENCE = 0.60, 0.45
+#: Mean and deviation of red, green and blue that image models are trained with.
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
 class Predictor(Protocol):
@@ -40,6 +42,33 @@ class LogitsPredictor:
         return full.argmax(0).astype(np.int64), (1 / np.exp(full - top).sum(0)).astype(np.float32)
 
 
+class OnnxPredictor(LogitsPredictor):
+    """A predictor over an ONNX segmentation model: scaled and normalised
+    planes in, logits out.  ``session`` is an onnxruntime session (or anything
+    with its ``run`` and ``get_inputs``); ``of_file`` makes a factory that every
+    worker calls for itself."""
+
+    def __init__(self, session, mean: tuple[float, ...] = MEAN, deviation: tuple[float, ...] = DEVIATION):
+        self.session, self.input = session, session.get_inputs()[0].name
+        self.mean, self.deviation = np.array(mean, np.float32), np.array(deviation, np.float32)
+        super().__init__(self.scores)
+
+    def scores(self, rgb: np.ndarray) -> np.ndarray:
+        planes = ((rgb.astype(np.float32) / 255 - self.mean) / self.deviation).transpose(2, 0, 1)[None]
+        return self.session.run(None, {self.input: planes})[0][0]
+
+    @staticmethod
+    def of_file(path: str) -> Callable[[], OnnxPredictor]:
+        def make() -> OnnxPredictor:
+            try:
+                import onnxruntime
+            except ImportError as missing:
+                raise RuntimeError("an ONNX model needs onnxruntime") from missing
+            return OnnxPredictor(onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"]))
+
+        return make
+
+
 def source_positions(n_out: int, n_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two neighbours of each output place and the weight of the second."""
     at = np.maximum((np.arange(n_out) + 0.5) * n_in / n_out - 0.5, 0)
@@ -104,6 +133,12 @@ def random_palette(spark: SparkSession, classes: int, seed: int = 42) -> DataFra
     return spark.createDataFrame(rows, "label bigint, r smallint, g smallint, b smallint")
 
 
+def painted(points: DataFrame, red: float, green: float, blue: float) -> DataFrame:
+    """Points in one colour (FLOAT), whatever theirs was."""
+    kept = [c for c in points.columns if c not in ("r", "g", "b")]
+    return points.select(*kept, single(red).alias("r"), single(green).alias("g"), single(blue).alias("b"))
+
+
 def coloured(df: DataFrame, palette: DataFrame, prefix: str = "class_") -> DataFrame:
     """Adds each label's palette colour.  A palette is as long as the
     vocabulary; adaptive execution broadcasts it once its size is known."""

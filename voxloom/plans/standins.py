@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.sources.png import encode_png
+
 #: A small vocabulary; ids between have no name.
 FINE = {
     1: " Wall ", 2: "sky", 3: "floor", 4: "Ceiling", 5: "bed", 7: "windowpane", 8: "cabinet", 10: "person", 12: "door", 14: "table",
@@ -69,6 +74,35 @@ def placed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 images: vec_id, and rgb (with alpha) and depth as PNG."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = {"vec_id": batch["vec_id"], "rgb": [], "depth": []}
+            for values in batch["w"]:
+                w = np.asarray(values, np.int64).reshape(8, 8)
+                channels = [w % 256, w * 7 % 256, w * 13 % 256, np.full((8, 8), 255)]
+                out["rgb"].append(encode_png(np.stack(channels, 2).astype(np.uint8)))
+                out["depth"].append(encode_png((w % 65536).astype(np.uint16)))
+            yield pd.DataFrame(out)
+
+    whole = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000).cast("bigint"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("w")).mapInPandas(run, "vec_id bigint, rgb binary, depth binary")
+
+
+def halves() -> object:
+    """Makes a predictor: label 3 on the left half with 0.75, 7 on the right with 0.5."""
+
+    class Halves:
+        def predict(self, rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            left = np.arange(rgb.shape[1]) < rgb.shape[1] // 2
+            whole = np.broadcast_to(left, rgb.shape[:2])
+            return np.where(whole, 3, 7), np.where(whole, np.float32(0.75), np.float32(0.5))
+
+    return Halves()
+
+
 def depth_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 depth images with a confidence for each pixel."""
     from voxloom.operators.geometry import image_pixels

@@ -4,9 +4,10 @@
     observations = semantic_observations(selected(records), images, predictor)
     voxels       = fusion.voxel_map(observations, 0.02)
 
-``python -m voxloom.replay --snapshots ... --output ...`` writes what a renderer
-needs of each snapshot: thresholded labels with colours, the caption, the fixed
-camera and how often the frame is shown.
+``python -m voxloom.build`` takes a recorded folder to snapshots and a map;
+``python -m voxloom.replay --snapshots ... --points ... --output ...`` writes
+what a renderer needs of each snapshot: thresholded labels with colours, the
+caption, the fixed camera and how often the frame is shown.
 """
 
 from __future__ import annotations
@@ -119,6 +120,20 @@ def replay_table(snapshots: DataFrame, current: DataFrame, fps: float, hold_seco
     return scheduled.select("snapshot_frame", "voxels", "unknown_ratio", text.alias("caption"), "repeats")
 
 
+def frame_points(obs: DataFrame, frame: str = "frame_idx") -> DataFrame:
+    """snapshot_frame and points: the observations of each frame itself."""
+    return obs.groupBy(F.col(frame).cast("int").alias("snapshot_frame")).agg(F.count("*").alias("points"))
+
+
+def grown_points(snapshots: DataFrame) -> DataFrame:
+    """snapshot_frame and points: what each snapshot has beyond the one before;
+    where every frame has its snapshot that is the frame's observations."""
+    totals = snapshots.groupBy("snapshot_frame").agg(F.sum(F.col("observation_count").cast("bigint")).alias("n"))
+    before = selection.numbered(totals, ["snapshot_frame"], "place")
+    earlier = before.select((F.col("place") + 1).alias("place"), F.col("n").alias("m"))
+    return before.join(earlier, "place", "left").select("snapshot_frame", (F.col("n") - F.coalesce("m", F.lit(0))).alias("points"))
+
+
 def coloured_snapshots(spark: SparkSession, snapshots: DataFrame, least_agreement: float, least_confidence: float) -> DataFrame:
     """Snapshot voxels with thresholded labels and their palette colours."""
     label = semantics.unknown_label(F.col("label"), F.col("semantic_agreement"), F.col("mean_model_confidence"), least_agreement, least_confidence)
@@ -132,6 +147,7 @@ class Parameters:
 
     snapshots: str
     output: str
+    points: str | None = None
     fps: float = 5.0
     agreement: float = semantics.AGREEMENT
     confidence: float = semantics.CONFIDENCE
@@ -142,6 +158,7 @@ def parse_arguments(argv: list[str] | None = None) -> Parameters:
     parser = argparse.ArgumentParser(description="Prepare a replay of map snapshots.")
     parser.add_argument("--snapshots", required=True, help="the snapshot table")
     parser.add_argument("--output", required=True, help="a folder for the replay tables")
+    parser.add_argument("--points", default=None, help="a table of snapshot_frame and points, the observations of each frame")
     parser.add_argument("--fps", type=float, default=Parameters.fps)
     parser.add_argument("--agreement", type=float, default=Parameters.agreement)
     parser.add_argument("--confidence", type=float, default=Parameters.confidence)
@@ -156,9 +173,9 @@ def main(argv: list[str] | None = None) -> None:
     p = parse_arguments(argv)
     spark = session("replay")
     snapshots = read_snapshots(spark, p.snapshots)
-    none = spark.createDataFrame([], "snapshot_frame int, points bigint")
+    current = spark.read.parquet(p.points) if p.points else grown_points(snapshots)
     last = snapshots.join(snapshots.agg(F.max("snapshot_frame").alias("last")), F.col("snapshot_frame") == F.col("last"))
-    replay_table(snapshots, none, p.fps, p.hold_seconds, p.agreement, p.confidence).write.mode("overwrite").parquet(f"{p.output}/frames")
+    replay_table(snapshots, current, p.fps, p.hold_seconds, p.agreement, p.confidence).write.mode("overwrite").parquet(f"{p.output}/frames")
     coloured_snapshots(spark, snapshots, p.agreement, p.confidence).write.mode("overwrite").partitionBy("snapshot_frame").parquet(f"{p.output}/voxels")
     geometry.fixed_camera(last).write.mode("overwrite").parquet(f"{p.output}/camera")
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxloom.functions.checks import require_any
 from voxloom.sources.png import encode_png
@@ -39,14 +40,73 @@ def snapshot_npz(voxels: pd.DataFrame, current: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+#: Arrays of a snapshot file and the map's columns they hold.
+NPZ_COLUMNS = {
+    "points": ("x", "y", "z"), "rgb_colors": ("r", "g", "b"), "labels": ("label",), "semantic_agreement": ("semantic_agreement",),
+    "mean_model_confidence": ("mean_model_confidence",), "observation_counts": ("observation_count",),
+}
+NPZ_ROWS = (
+    "snapshot_frame int, place bigint, x float, y float, z float, r float, g float, b float, label bigint, semantic_agreement float, "
+    "mean_model_confidence float, observation_count int"
+)
+
+
+def npz_snapshots(snapshots: DataFrame, current: DataFrame) -> DataFrame:
+    """snapshot_frame and npz: each snapshot as one file's bytes, made by the
+    task that holds it.  ``current`` has snapshot_frame, x, y and z, the points
+    of the frame itself.  A snapshot has to fit a worker, as its file would."""
+
+    def run(voxels: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if not len(voxels):
+            return pd.DataFrame({"snapshot_frame": [], "npz": []})
+        data = snapshot_npz(voxels, points[["x", "y", "z"]].to_numpy(np.float64))
+        return pd.DataFrame({"snapshot_frame": [voxels["snapshot_frame"].iloc[0]], "npz": [data]})
+
+    own = current.select("snapshot_frame", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return snapshots.groupBy("snapshot_frame").cogroup(own.groupBy("snapshot_frame")).applyInPandas(run, "snapshot_frame int, npz binary")
+
+
+def read_npz(files: DataFrame) -> DataFrame:
+    """The voxels of snapshot files (snapshot_frame, npz), a row each; a file
+    that lacks an array is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for frame, data in zip(batch["snapshot_frame"], batch["npz"], strict=True):
+                arrays = load_npz(bytes(data))
+                out = {"snapshot_frame": frame, "place": np.arange(len(arrays["labels"]))}
+                for name, columns in NPZ_COLUMNS.items():
+                    values = arrays[name].reshape(-1, len(columns))
+                    out |= {c: values[:, k] for k, c in enumerate(columns)}
+                yield pd.DataFrame(out)
+
+    return files.select("snapshot_frame", "npz").mapInPandas(run, NPZ_ROWS)
+
+
 def load_npz(data: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as found:
         return {k: found[k] for k in found.files}
 
 
 def write_experiments(rows: DataFrame, path: str) -> None:
-    """Experiment rows as one CSV with a header; none is an error."""
-    require_any(rows, "there are no experiment rows").coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """Experiment rows as one CSV with a header, quotes doubled; none is an error."""
+    require_any(rows, "there are no experiment rows").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def overlay_png(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and png: blended pixels (keys, v, u and 8-bit r, g, b) as images,
+    each made by the task that holds its pixels; all pixels must be there."""
+    kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(group["v"].max()) + 1, int(group["u"].max()) + 1)
+        if len(group) != shape[0] * shape[1]:
+            raise ValueError("an image lacks pixels or has some twice")
+        image = np.zeros((*shape, 3), np.uint8)
+        image[group["v"], group["u"]] = group[["r", "g", "b"]].to_numpy()
+        return pd.DataFrame({k: [group[k].iloc[0]] for k in keys} | {"png": [encode_png(image)]})
+
+    return pixels.select(*keys, "v", "u", "r", "g", "b").groupBy(*keys).applyInPandas(run, f"{kinds}, png binary")
 
 
 def write_images(images: DataFrame, folder: str) -> None:

@@ -8,7 +8,6 @@ header before the parts.
 from __future__ import annotations
 
 import os
-import shutil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +22,8 @@ HEADER = (
 
 
 def coordinate(column: Column) -> Column:
-    """Six decimals of a FLOAT, ties to even: Spark's format rounds them up."""
-    return F.format_string("%.6f", F.bround(column.cast("float").cast("double").cast("decimal(38,18)"), 6).cast("double"))
+    """Six decimals of a FLOAT, ties to even, as a decimal that prints itself."""
+    return F.bround(column.cast("float").cast("double").cast("decimal(38,18)"), 6).cast("string")
 
 
 def finite_points(points: DataFrame) -> DataFrame:
@@ -55,34 +54,50 @@ def ply_lines(points: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def write_ply(points: DataFrame, path: str, order: list[str] | None = None) -> int:
-    """Writes one PLY file to a local or mounted path; returns its points.
+    """Writes one PLY file to any path that Spark writes to; returns its points.
 
-    The parts are streamed into the file one after another, so the driver holds
-    a buffer of one part, never the points.
+    The parts are streamed into the file one after another through the file
+    system that holds them, so the driver has a buffer, never the points.
     """
     lines = ply_lines(points, order)
     if order:
         lines = lines.orderBy(*order)
-    parts = f"{path}.parts"
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    spark, parts = lines.sparkSession, f"{path}.parts"
     lines.select("line").write.mode("overwrite").text(parts)
-    n = lines.sparkSession.read.text(parts).count()
-    with open(path, "wb") as out:
-        out.write(HEADER.format(n=n).encode())
-        for name in sorted(x for x in os.listdir(parts) if x.startswith("part-")):
-            with open(os.path.join(parts, name), "rb") as part:
-                shutil.copyfileobj(part, out)
-    shutil.rmtree(parts)
+    n = spark.read.text(parts).count()
+    hadoop = spark._jvm.org.apache.hadoop
+    folder, conf = hadoop.fs.Path(parts), spark._jsc.hadoopConfiguration()
+    store = folder.getFileSystem(conf)
+    store.setWriteChecksum(False)
+    out = store.create(hadoop.fs.Path(path), True)
+    try:
+        out.write(bytearray(HEADER.format(n=n).encode()))
+        for name in sorted(str(x.getPath().getName()) for x in store.listStatus(folder)):
+            if name.startswith("part-"):
+                part = store.open(hadoop.fs.Path(folder, name))
+                try:
+                    hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+    finally:
+        out.close()
+        store.setWriteChecksum(True)
+        store.delete(folder, True)
     return n
 
 
+def class_points(voxels: DataFrame, coarse_id: int) -> DataFrame:
+    """The voxels of one coarse class."""
+    return voxels.filter(F.col("coarse_id") == coarse_id)
+
+
 def write_class_layers(voxels: DataFrame, palette: DataFrame, names: DataFrame, folder: str) -> list[str]:
     """One PLY for each coarse class present (coarse_id on ``voxels``), in the
     class's colour, named by id and name; returns the paths."""
     present = voxels.select("coarse_id").distinct().join(names, "coarse_id").orderBy("coarse_id").collect()
     paths = []
     for row in present:  # as many as there are classes
-        own = voxels.filter(F.col("coarse_id") == row["coarse_id"]).drop("r", "g", "b")
+        own = class_points(voxels, row["coarse_id"]).drop("r", "g", "b")
         coloured = own.join(palette.select(F.col("label").alias("coarse_id"), "r", "g", "b"), "coarse_id")
         paths.append(os.path.join(folder, f"{row['coarse_id']:02d}_{row['coarse_name']}.ply"))
         write_ply(coloured, paths[-1])
