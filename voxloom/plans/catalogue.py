@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions.pixels import byte_colour, depth_to_metres, valid_depth
+from voxloom.functions.pixels import byte_colour, depth_to_metres, unit_colour, valid_depth
 from voxloom.functions.poses import TRANSLATION, distance
 from voxloom.operators import association as assoc
 from voxloom.operators import fusion, geometry, labels, metrics, selection, semantics, snapshots
-from voxloom.plans.standins import FINE, SEEN, depth_pixels, observations, placed_points, poses, table, times
+from voxloom.plans.standins import FINE, SEEN, depth_pixels, halves, image_files, observations, placed_points, poses, table, times
+from voxloom.replay import frame_points, replay_table
+from voxloom.replay import semantic_pixels as label_pixels
 from voxloom.session import saved, scratch
-from voxloom.sinks.ply import ply_lines
-from voxloom.sources.sequence import parse_index, parse_poses
+from voxloom.sinks.maps import npz_snapshots, overlay_png, read_npz, write_experiments, write_snapshot
+from voxloom.sinks.ply import class_points, ply_lines
+from voxloom.sinks.ply import finite_points as drop_not_finite
+from voxloom.sources.png import encode_png
+from voxloom.sources.sequence import decode_frames, parse_index, parse_poses, read_snapshots
 from voxloom.streaming.mapping import last_map, stream_map, write_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +30,7 @@ SQL: dict[str, str] = {}
 SIZE = 4.0
 #: Association tolerance: a minute in microseconds.
 WIDTH = 60_000_000
-SNAPSHOTS = [0, 20, 40, 60, 80]
+EVERY = 20
 STEPS, SIZES = (5, 10, 20), (2.0, 4.0, 8.0)
 
 
@@ -79,7 +85,10 @@ FIRST_SEEN = (
     + ", q AS (SELECT *, row_number() OVER (PARTITION BY ix, iy, iz ORDER BY sconf DESC, first_seen) AS place FROM p)"
     + FINAL.format(by="", label="max(label) FILTER (place = 1)").replace("FROM p", "FROM q")
 )
-FRAMES = "f AS (SELECT unnest([0, 20, 40, 60, 80]) AS snapshot_frame), s AS (SELECT o.*, CAST(f.snapshot_frame AS INTEGER) AS snapshot_frame FROM o JOIN f ON o.frame_idx <= f.snapshot_frame)"
+#: Every 20th frame counted from the table's first, and the last.
+FRAMES = """e AS (SELECT min(frame_idx) AS lo, max(frame_idx) AS hi FROM o),
+f AS (SELECT DISTINCT least(k * 20, hi - lo) AS snapshot_frame, lo FROM e, range(1000) AS r(k)),
+s AS (SELECT o.*, CAST(f.snapshot_frame AS INTEGER) AS snapshot_frame FROM o JOIN f ON o.frame_idx - f.lo <= f.snapshot_frame)"""
 SNAPSHOT_MAP = "WITH " + OBS + ", " + FRAMES + "," + PARTS.format(by="snapshot_frame, ", source="s") + FINAL.format(by="snapshot_frame, ", label=LOWEST)
 UNKNOWN = "semantic_agreement < CAST(0.6 AS FLOAT) OR mean_model_confidence < CAST(0.45 AS FLOAT)"
 CANDIDATES = """
@@ -193,18 +202,91 @@ def voxel_map_incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SNAPSHOT_MAP)
 def voxel_map_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.map_snapshots(fusion.partials(observations(spark, sf_dir), SIZE, by=["frame_idx"]), SNAPSHOTS)
+    """The map after every 20th frame and after the last one."""
+    return snapshots.whole_snapshots(fusion.partials(observations(spark, sf_dir), SIZE, by=["frame_idx"]), EVERY)
 
 
-@query(MAP)
-def voxel_map_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map after a stream of yearly frames."""
+def streamed(spark: SparkSession, sf_dir: str, every: int) -> str:
+    """The snapshot table of a stream of yearly frames."""
     obs = observations(spark, sf_dir).withColumn("frame_idx", F.floor(F.col("frame_idx") / 12).cast("int")).drop(*SEEN)
     base = scratch(spark, "stream")
     write_frames(obs, f"{base}/frames")
-    schema = obs.drop("frame_idx").schema
-    stream_map(spark, f"{base}/frames", schema, SIZE, f"{base}/state", f"{base}/snapshots")
-    return last_map(spark, f"{base}/snapshots")
+    stream_map(spark, f"{base}/frames", obs.schema, SIZE, f"{base}/state", f"{base}/snapshots", every)
+    return f"{base}/snapshots"
+
+
+@query(MAP)
+def voxel_map_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map after a stream of yearly frames."""
+    return last_map(spark, streamed(spark, sf_dir, 5))
+
+
+YEARS = """y AS (SELECT * REPLACE (CAST(floor(frame_idx / 12) AS INTEGER) AS frame_idx) FROM o),
+e AS (SELECT max(frame_idx) AS hi FROM y),
+f AS (SELECT DISTINCT least(CAST(ceil(frame_idx / 2) * 2 AS INTEGER), hi) AS snapshot_frame FROM y, e),
+s AS (SELECT y.*, f.snapshot_frame FROM y JOIN f ON y.frame_idx <= f.snapshot_frame)"""
+
+
+@query("WITH " + OBS + ", " + YEARS + "," + PARTS.format(by="snapshot_frame, ", source="s") + FINAL.format(by="snapshot_frame, ", label=LOWEST))
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps that the stream exports after every second year and the last."""
+    return spark.read.parquet(streamed(spark, sf_dir, 2))
+
+
+@query(MAP)
+def voxel_map_empty_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update without observations changes nothing."""
+    obs = observations(spark, sf_dir)
+    nothing = fusion.partials(obs.filter("label < 0"), SIZE)
+    return fusion.finalize(fusion.merge(nothing, fusion.partials(obs, SIZE), nothing))
+
+
+@query("WITH m AS (" + MAP + ") SELECT ix, iy, iz, CAST(row_number() OVER (ORDER BY ix, iy, iz) - 1 AS BIGINT) AS place FROM m")
+def voxel_export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each voxel in an export by key."""
+    return selection.numbered(fusion.voxel_map(observations(spark, sf_dir), SIZE), ["ix", "iy", "iz"], "place").select("ix", "iy", "iz", "place")
+
+
+@query("WITH m AS (" + MAP + ") SELECT ix, iy, iz, x, y, z, CAST(0.2 AS FLOAT) AS r, CAST(0.4 AS FLOAT) AS g, CAST(0.6 AS FLOAT) AS b FROM m")
+def constant_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voxels = fusion.voxel_map(observations(spark, sf_dir), SIZE)
+    return semantics.painted(voxels.select("ix", "iy", "iz", "x", "y", "z"), 0.2, 0.4, 0.6)
+
+
+NPZ = "snapshot_frame, x, y, z, r, g, b, label, semantic_agreement, mean_model_confidence, observation_count"
+
+
+@query("WITH m AS (" + SNAPSHOT_MAP + f") SELECT CAST(row_number() OVER (PARTITION BY snapshot_frame ORDER BY ix, iy, iz) - 1 AS BIGINT) AS place, {NPZ} FROM m")
+def npz_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots written as array files and read back."""
+    obs = observations(spark, sf_dir)
+    current = obs.select(F.col("frame_idx").alias("snapshot_frame"), "x", "y", "z")
+    return read_npz(npz_snapshots(voxel_map_snapshots(spark, sf_dir), current))
+
+
+@query("WITH m AS (" + SNAPSHOT_MAP + ") SELECT snapshot_frame, count(*) AS voxels, CAST(row_number() OVER (ORDER BY snapshot_frame) - 1 AS BIGINT) AS place FROM m GROUP BY snapshot_frame")
+def snapshot_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as a table that the sink wrote lists them, in order."""
+    found, base = saved(voxel_map_snapshots(spark, sf_dir)), scratch(spark, "maps")
+    for row in found.select("snapshot_frame").distinct().collect():  # a handful of frames
+        write_snapshot(found.filter(F.col("snapshot_frame") == row[0]).drop("snapshot_frame"), base, row[0])
+    counts = read_snapshots(spark, base).groupBy("snapshot_frame").agg(F.count("*").alias("voxels"))
+    return selection.numbered(counts, ["snapshot_frame"], "place")
+
+
+@query("WITH " + OBS + """, m AS (""" + SNAPSHOT_MAP + """), c AS (SELECT snapshot_frame, count(*) AS voxels, row_number() OVER (ORDER BY snapshot_frame) AS place,
+count(*) OVER () AS total FROM m GROUP BY snapshot_frame),
+p AS (SELECT frame_idx - (SELECT min(frame_idx) FROM o) AS snapshot_frame, count(*) AS points FROM o GROUP BY frame_idx)
+SELECT snapshot_frame, concat('Frame ', place, '/', total, '    |    Map voxels: ', format('{:,}', voxels), '    |    Current observations: ',
+       format('{:,}', coalesce(points, 0))) AS caption, CAST(CASE WHEN place = total THEN 11 ELSE 1 END AS INTEGER) AS repeats
+FROM c LEFT JOIN p USING (snapshot_frame)""")
+def replay_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a replay of the snapshots shows under each frame, and how often."""
+    obs = observations(spark, sf_dir)
+    first = obs.agg(F.min("frame_idx").alias("first"))
+    current = frame_points(obs.join(first).withColumn("frame_idx", F.col("frame_idx") - F.col("first")))
+    table = replay_table(voxel_map_snapshots(spark, sf_dir), current, 5.0, 2.0, semantics.AGREEMENT, semantics.CONFIDENCE)
+    return table.select("snapshot_frame", "caption", "repeats")
 
 
 @query("WITH " + OBS + " SELECT count(*) AS voxels FROM (SELECT DISTINCT ix, iy, iz FROM o)")
@@ -260,6 +342,15 @@ def assoc_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assoc.match_mutual(candidates(spark, sf_dir), "seq_id", "rgb_idx", "depth_idx", "difference", saved).drop("seq_id")
 
 
+@query(GREEDY.replace("SELECT c.rgb_idx, c.depth_idx, c.difference FROM", "SELECT c.rgb_idx, c.depth_idx, CAST(row_number() OVER (ORDER BY b.depth_t, c.difference, c.rgb_idx, c.depth_idx) - 1 AS INTEGER) AS rec_idx FROM") + " JOIN b USING (depth_idx)")
+def assoc_depth_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched pairs numbered by depth time."""
+    matched = assoc.match_greedy(candidates(spark, sf_dir), "seq_id", "rgb_idx", "depth_idx", "difference")
+    depth = times(spark, sf_dir, "click", "depth").select("depth_idx", "depth_t")
+    ordered = assoc.in_depth_order(matched.join(depth, "depth_idx"), "seq_id", "depth_t", "difference", "rgb_idx", "depth_idx")
+    return ordered.select("rgb_idx", "depth_idx", "rec_idx")
+
+
 @query("""
 WITH b AS (SELECT event_id AS depth_idx, epoch_us(ts) AS depth_t FROM events WHERE event_type = 'click'),
 p AS (SELECT event_id AS pose_idx, epoch_us(ts) AS pose_t FROM events WHERE event_type = 'error'),
@@ -278,7 +369,29 @@ def assoc_time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assoc.time_statistics(candidates(spark, sf_dir), "difference")
 
 
-@query()
+#: One step for each entry of the first list: the best of the first j of the second is the best of what it was, of its pair and of those before j.
+ORDERED = """WITH RECURSIVE
+a AS (SELECT row_number() OVER (ORDER BY epoch_us(ts), event_id) AS i, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
+b AS (SELECT row_number() OVER (ORDER BY epoch_us(ts), event_id) AS j, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
+d AS (
+  SELECT CAST(0 AS BIGINT) AS i, j, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS e FROM (SELECT 0 AS j UNION ALL SELECT j FROM b)
+  UNION ALL
+  SELECT i, j, best.n, -best.m FROM (
+    SELECT i, j, max(own) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS best FROM (
+      SELECT i, j, CASE WHEN gap <= 60000000 AND struct_pack(n := pn + 1, m := -(pe + gap)) > struct_pack(n := n, m := -e)
+                        THEN struct_pack(n := pn + 1, m := -(pe + gap)) ELSE struct_pack(n := n, m := -e) END AS own
+      FROM (
+        SELECT a.i, d.j, d.n, d.e, lag(d.n) OVER (ORDER BY d.j) AS pn, lag(d.e) OVER (ORDER BY d.j) AS pe, abs(a.t - b.t) AS gap
+        FROM d JOIN a ON a.i = d.i + 1 LEFT JOIN b ON b.j = d.j
+      )
+    )
+  )
+),
+z AS (SELECT n, e FROM d ORDER BY i DESC, j DESC LIMIT 1)
+SELECT n AS matches, CAST(e AS DOUBLE) AS total_difference FROM z"""
+
+
+@query(ORDERED)
 def dp_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order-preserving matching: most pairs, then least total difference."""
     rgb, depth = times(spark, sf_dir, "view", "rgb"), times(spark, sf_dir, "click", "depth")
@@ -312,6 +425,28 @@ def highlight_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.every_nth(rows, 4).select("l_orderkey", "l_partkey", "rec_idx")
 
 
+LINE_PLACE = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, CAST(row_number() OVER (ORDER BY {LINE_PLACE}) - 1 AS BIGINT) AS rec_idx FROM lineitem")
+def numbered_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of rows that carry more columns than their order."""
+    rows = selection.numbered(table(spark, sf_dir, "lineitem"), LINE_PLACE.split(", "))
+    return rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "rec_idx")
+
+
+@query("""WITH p AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE event_id / 4.0::DOUBLE END AS x,
+CASE WHEN event_id % 13 = 0 THEN CAST('-inf' AS DOUBLE) ELSE -event_id / 8.0::DOUBLE END AS y FROM events)
+SELECT event_id, x, y FROM p WHERE isfinite(x) AND isfinite(y)""")
+def finite_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points without a coordinate that is not finite."""
+    k, number = F.col("event_id"), lambda x: F.lit(float(x))
+    x = F.when(k % 7 == 0, number("nan")).when(k % 11 == 0, number("inf")).otherwise(k / 4.0)
+    y = F.when(k % 13 == 0, number("-inf")).otherwise(-k / 8.0)
+    points = table(spark, sf_dir, "events").select(k, x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
+    return drop_not_finite(points).drop("z")
+
+
 # --- geometry
 
 
@@ -455,6 +590,64 @@ def overlay_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.overlay(pixels, palette).drop("label")
 
 
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"CAST(CAST({p} % 256 AS FLOAT) / CAST(255 AS FLOAT) AS FLOAT) AS {c}" for p, c in (("l_partkey", "r"), ("l_suppkey", "g"), ("l_orderkey", "b"))) + " FROM lineitem")
+def colour_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colours = {"r": "l_partkey", "g": "l_suppkey", "b": "l_orderkey"}
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", *[unit_colour((F.col(k) % 256).cast("smallint")).alias(c) for c, k in colours.items()])
+
+
+@query("WITH " + VOCABULARY + "," + COARSE + """ SELECT p_partkey, coarse_id FROM remapped WHERE coarse_id = 3""")
+def class_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of one coarse class, as its layer holds them."""
+    return class_points(remapped_parts(spark, sf_dir), 3)
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS label, count(*) AS parts FROM part WHERE p_size < 0 OR p_size > 45 GROUP BY p_size")
+def label_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the remap table, which the remap refuses, and their parts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("label"))
+    return labels.CoarseRemap({k: v for k, v in FINE.items() if k <= 45}).outside(parts).withColumnRenamed("n", "parts")
+
+
+IMAGES = """
+cell AS (SELECT vec_id, embedding, unnest(range(64)) AS k FROM embeddings),
+word AS (
+  SELECT vec_id, CAST(k // 8 AS INTEGER) AS v, CAST(k % 8 AS INTEGER) AS u, CAST(floor(abs(CAST(embedding[k + 1] AS DOUBLE)) * 1000) AS BIGINT) AS w FROM cell
+),
+x AS (SELECT vec_id, v, u, CAST(w % 256 AS SMALLINT) AS red, CAST(w * 7 % 256 AS SMALLINT) AS green, CAST(w * 13 % 256 AS SMALLINT) AS blue, CAST(w % 65536 AS INTEGER) AS raw FROM word)"""
+
+
+@query("WITH " + IMAGES + " SELECT * FROM x WHERE v % 2 = 0 AND u % 2 = 0")
+def png_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour (with an alpha channel) and 16-bit depth images, written as PNG,
+    decoded and read on a stride."""
+    return decode_frames(image_files(spark, sf_dir), ["vec_id"], 2)
+
+
+@query("WITH " + IMAGES + """ SELECT CAST(vec_id AS INTEGER) AS frame_idx, v, u, red, green, blue, raw, CAST(CASE WHEN u < 4 THEN 3 ELSE 7 END AS BIGINT) AS label,
+CAST(CASE WHEN u < 4 THEN 0.75 ELSE 0.5 END AS FLOAT) AS pconf FROM x WHERE v % 2 = 0 AND u % 2 = 0""")
+def semantic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour, depth, label and confidence of the pixels of each frame, from one
+    decoding and one prediction a frame."""
+    frames = image_files(spark, sf_dir).select(F.lit("s").alias("seq_id"), F.col("vec_id").cast("int").alias("frame_idx"), "rgb", "depth")
+    return label_pixels(frames, halves, 2).drop("seq_id")
+
+
+@query("WITH " + HSV + f", c AS (SELECT label, {BYTES} FROM palette), " + IMAGES + """
+SELECT vec_id, v, u, """ + ", ".join(f"CAST(trunc(least(greatest(0.55::DOUBLE * CAST({n} AS DOUBLE) + 0.45::DOUBLE * {c}, 0), 255)) AS SMALLINT) AS {n}" for n, c in (("red", "r"), ("green", "g"), ("blue", "b"))) + """
+FROM x JOIN c ON c.label = x.raw % 150""")
+def overlay_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays written as PNG and decoded."""
+    pixels = decode_frames(image_files(spark, sf_dir), ["vec_id"])
+    base = pixels.select("vec_id", "v", "u", F.col("red").alias("r"), F.col("green").alias("g"), F.col("blue").alias("b"), (F.col("raw") % 150).cast("bigint").alias("label"))
+    palette = semantics.hsv_palette(spark)
+    palette = palette.select("label", *[byte_colour(F.col(c).cast("double"), 255.0).alias(c) for c in "rgb"])
+    images = overlay_png(semantics.overlay(base, palette).drop("label"), ["vec_id"])
+    grey = F.lit(encode_png(np.zeros((8, 8), np.uint16)))
+    return decode_frames(images.select("vec_id", F.col("png").alias("rgb"), grey.alias("depth")), ["vec_id"]).drop("raw")
+
+
 # --- metrics, sinks, sources
 
 
@@ -491,6 +684,30 @@ def caption_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(metrics.caption(F.col("l_linenumber") - 1, F.lit(7), F.col("n"), F.col("q")).alias("caption"))
 
 
+@query("WITH m AS (" + SQL["fusion_quality"] + """), t AS (SELECT unnest([
+  concat('Raw observations: ', format('{:,}', raw_points)), concat('Map voxels: ', format('{:,}', voxels)), concat('Retention: ', printf('%.2f', round_even(retention_ratio * 10000, 0) / 100), '%'),
+  concat('Mean observations per voxel: ', printf('%.2f', round_even(mean_observations * 100, 0) / 100)), concat('Voxels seen more than once: ', printf('%.2f', round_even(multi_observation_ratio * 10000, 0) / 100), '%'),
+  concat('Mean semantic agreement: ', printf('%.4f', round_even(mean_agreement * 10000, 0) / 10000)), concat('Voxels of low agreement: ', printf('%.2f', round_even(low_agreement_ratio * 10000, 0) / 100), '%')]) AS line, unnest(range(7)) AS place FROM m)
+SELECT CAST(place AS INTEGER) AS place, line FROM t""")
+def fusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of a map as the lines of a report."""
+    return metrics.report_lines(fusion_quality(spark, sf_dir))
+
+
+@query("WITH s AS (" + SQL["experiment_sweep"] + """) SELECT CAST(frame_step AS VARCHAR) AS frame_step, CAST(voxel_size_m AS VARCHAR) AS voxel_size_m, '4' AS pixel_stride,
+CAST(selected_frames AS VARCHAR) AS selected_frames, CAST(raw_point_count AS VARCHAR) AS raw_point_count, CAST(downsampled_point_count AS VARCHAR) AS downsampled_point_count,
+retention_ratio, 0.5::DOUBLE AS build_time_seconds, round(CAST(downsampled_point_count * 48 AS DOUBLE) / 1048576, 6) AS ply_size_mb,
+concat('maps/', frame_step, '.ply') AS output_path, 'a "quoted", note' AS notes FROM s""")
+def experiment_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment rows written as CSV and read back."""
+    path = F.concat(F.lit("maps/"), F.col("frame_step").cast("string"), F.lit(".ply"))
+    rows = metrics.experiment_rows(experiment_sweep(spark, sf_dir), 4, F.lit(0.5), F.col("downsampled_point_count") * 48, path, F.lit('a "quoted", note'))
+    folder = scratch(spark, "experiments")
+    write_experiments(rows, folder)
+    read = spark.read.csv(folder, header=True, escape='"')
+    return read.withColumns({c: F.col(c).cast("double") for c in ("retention_ratio", "build_time_seconds", "ply_size_mb")})
+
+
 def event_files(spark: SparkSession, sf_dir: str, line) -> DataFrame:
     """A text file for each hundred events, with a comment and a blank line."""
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.floor(F.col("event_id") / 100).cast("string")).alias("seq_id"), "event_id")
