@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import passing_tables, written
+from voxloom.llm.common import passing_tables, trim, written
 
 FANOUT = 16
 #: Ids a file: a file holds the pages of this many consecutive ids.
@@ -137,6 +137,13 @@ def scan_warc(content: bytes) -> Iterator[tuple[int, int, int | None]]:
         at = end
 
 
+def row_by_row(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch; of large values one row's at a time is held."""
+    for k in range(batch.num_rows):
+        yield tuple(column[k].as_py() for column in batch.columns)
+    trim()
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """Records of ``warc_files`` rows: file_no, record_no, start, length, url
     and payload; a damaged file is an error."""
@@ -145,7 +152,7 @@ def read_files(files: DataFrame) -> DataFrame:
         names = ("file_no", "record_no", "start", "length", "url", "payload")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
-            for file_no, first, base, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file_no, first, base, content in row_by_row(batch):
                 found = [(file_no, first + k, base + a, n, h.get("warc-target-uri", ""), p) for k, (a, n, h, p) in enumerate(parse_warc(content or b""))]
                 yield pa.RecordBatch.from_pydict({x: pa.array([r[j] for r in found], kinds[j]) for j, x in enumerate(names)})
 
@@ -160,7 +167,7 @@ def indexed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "file_no", "at", "start", "end", "hash")
         for batch in batches:
-            for file_no, first, base, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for file_no, first, base, content in row_by_row(batch):
                 found, before = [], None
                 for k, (a, b, page_id) in enumerate(scan_warc(content or b"")):
                     if page_id is None:
@@ -291,20 +298,21 @@ def damaged(files: DataFrame, lost: Column, flipped: Column) -> DataFrame:
     picks = indexed(files).filter("page_id >= 0").select("file_no", "start", "end", lost.alias("lost"), flipped.alias("flipped")).filter("lost or flipped")
     kind = F.when(F.col("lost"), 1).otherwise(0)
     faults = picks.groupBy("file_no").agg(F.collect_list(F.struct("start", "end", kind.alias("lost"))).alias("faults"))
-    both = files.select("file_no", "volume", "first", "base", "content").join(faults, "file_no", "left")
+    both = files.join(faults, "file_no", "left").select("file_no", "volume", "first", "base", "content", "faults")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                content, base = bytearray(row["content"]), row["base"]
-                own = [f for f in row["faults"] or [] if base <= f["start"] < base + len(content)]
+            for *keys, content, faults in row_by_row(batch):
+                content, base = bytearray(content), keys[3]
+                own = [f for f in faults or [] if base <= f["start"] < base + len(content)]
                 for fault in sorted(own, key=lambda f: -f["start"]):
                     a, b = fault["start"] - base, fault["end"] - base
                     if fault["lost"]:
                         del content[a:b]
                     elif b - a > 12:
                         content[a + 12] = 0
-                keys = {"file_no": pa.int64(), "volume": pa.int32(), "first": pa.int64(), "base": pa.int64()}
-                yield pa.RecordBatch.from_pydict({k: pa.array([row[k]], t) for k, t in keys.items()} | {"content": pa.array([bytes(content)], pa.binary())})
+                kinds = {"file_no": pa.int64(), "volume": pa.int32(), "first": pa.int64(), "base": pa.int64()}
+                columns = {name: pa.array([v], t) for v, (name, t) in zip(keys, kinds.items(), strict=True)}
+                yield pa.RecordBatch.from_pydict(columns | {"content": pa.array([bytes(content)], pa.binary())})
 
     return both.mapInArrow(run, "file_no long, volume int, first long, base long, content binary")
