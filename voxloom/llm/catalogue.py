@@ -81,7 +81,7 @@ def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with passing_tables(spark):
         files = written(warc_files(page_records(table(spark, sf_dir, "pages"))), "warc")
-        replica = written(damaged(files, F.col("page_id") % 389 == 7, F.col("page_id") % 97 == 13), "replica")
+        replica = written(damaged(files, lambda page_id: page_id % 389 == 7, lambda page_id: page_id % 97 == 13), "replica")
         return audit_files(files, replica)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -291,28 +291,23 @@ def matched(records: DataFrame) -> DataFrame:
     return pairs.select("page_id", "file_no", where["at"].alias("record_no"), where["start"].alias("start"), where["end"].alias("end"), status.alias("status"))
 
 
-def damaged(files: DataFrame, lost: Column, flipped: Column) -> DataFrame:
+def damaged(files: DataFrame, lost: Callable[[int], bool], flipped: Callable[[int], bool]) -> DataFrame:
     """A replica of ``warc_files`` rows with faults in its bytes: records whose
-    page_id satisfies ``lost`` are cut out, of those that satisfy ``flipped``
-    the 13th byte is another.  For rehearsing audits."""
-    picks = indexed(files).filter("page_id >= 0").select("file_no", "start", "end", lost.alias("lost"), flipped.alias("flipped")).filter("lost or flipped")
-    kind = F.when(F.col("lost"), 1).otherwise(0)
-    faults = picks.groupBy("file_no").agg(F.collect_list(F.struct("start", "end", kind.alias("lost"))).alias("faults"))
-    both = files.join(faults, "file_no", "left").select("file_no", "volume", "first", "base", "content", "faults")
+    page id is ``lost`` are cut out, of those that are ``flipped`` the 13th byte
+    is another.  For rehearsing audits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"file_no": pa.int64(), "volume": pa.int32(), "first": pa.int64(), "base": pa.int64()}
         for batch in batches:
-            for *keys, content, faults in row_by_row(batch):
-                content, base = bytearray(content), keys[3]
-                own = [f for f in faults or [] if base <= f["start"] < base + len(content)]
-                for fault in sorted(own, key=lambda f: -f["start"]):
-                    a, b = fault["start"] - base, fault["end"] - base
-                    if fault["lost"]:
-                        del content[a:b]
-                    elif b - a > 12:
-                        content[a + 12] = 0
-                kinds = {"file_no": pa.int64(), "volume": pa.int32(), "first": pa.int64(), "base": pa.int64()}
+            for *keys, content in row_by_row(batch):
+                kept = []
+                for a, b, page_id in scan_warc(content):
+                    if page_id is None or page_id < 0:
+                        kept.append(content[a:b])
+                    elif not lost(page_id):
+                        kept.append(content[a : a + 12] + b"\0" + content[a + 13 : b] if flipped(page_id) else content[a:b])
                 columns = {name: pa.array([v], t) for v, (name, t) in zip(keys, kinds.items(), strict=True)}
-                yield pa.RecordBatch.from_pydict(columns | {"content": pa.array([bytes(content)], pa.binary())})
+                yield pa.RecordBatch.from_pydict(columns | {"content": pa.array([b"".join(kept)], pa.binary())})
 
-    return both.mapInArrow(run, "file_no long, volume int, first long, base long, content binary")
+    schema = "file_no long, volume int, first long, base long, content binary"
+    return files.select("file_no", "volume", "first", "base", "content").mapInArrow(run, schema)
