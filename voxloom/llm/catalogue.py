@@ -76,12 +76,13 @@ def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of the WARC files of all pages, both as bytes that were
     written and are parsed: in the replica one byte of every 97th page's record
     is another, and every 389th page's record is gone."""
-    from voxloom.llm.common import passing_tables, written
+    from voxloom.llm.common import passing_tables, release_shuffles, written
     from voxloom.llm.warc import audit_files, damaged, page_records, warc_files
 
     with passing_tables(spark):
-        files = written(warc_files(page_records(table(spark, sf_dir, "pages"))), "warc")
-        replica = written(damaged(files, lambda page_id: page_id % 389 == 7, lambda page_id: page_id % 97 == 13), "replica")
+        files = written(warc_files(page_records(table(spark, sf_dir, "pages"))), "warc", "zstd")
+        release_shuffles(spark)
+        replica = written(damaged(files, lambda page_id: page_id % 389 == 7, lambda page_id: page_id % 97 == 13), "replica", "zstd")
         return audit_files(files, replica)
 
 
