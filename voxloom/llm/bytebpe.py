@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, blocks, bucket_count, by_bucket, byte_buffers, ragged, steady, text_rows, trim
+from voxloom.llm.common import binary, blocks, bucket_count, by_bucket, by_part, byte_buffers, part_of, ragged, steady, text_rows, trim
 
 EXPLODE_BYTES = 8 << 20
 #: Fixed value: the pre-token pattern whose texts may be cut before blanks; with any other, texts are matched whole.
@@ -177,9 +177,9 @@ def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
 
 
-DOC_SIDE = "block binary, ids binary, missing binary, counts binary, n long, positions binary"
-WORD_SIDE = "block binary, bucket int, n int, slots binary, sizes binary, words binary"
-CODE_SIDE = "block binary, n int, slots binary, counts binary, codes binary"
+DOC_SIDE = "part int, block binary, ids binary, missing binary, counts binary, n long, positions binary"
+WORD_SIDE = "part int, block binary, bucket int, n int, slots binary, sizes binary, words binary"
+CODE_SIDE = "part int, block binary, n int, slots binary, counts binary, codes binary"
 
 
 def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFrame:
@@ -189,7 +189,8 @@ def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFr
         import regex
 
         compiled = regex.compile(pattern)
-        for block in blocks(batches, "text", EXPLODE_BYTES):
+        for number, block in enumerate(blocks(batches, "text", EXPLODE_BYTES)):
+            part = part_of(number, n_buckets)
             ids, texts = block.column(0), block.column(1)
             key = block_key(ids, *byte_buffers(texts))
             words, index, counts = explode(texts, compiled)
@@ -198,6 +199,7 @@ def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFr
                 missing = ids.is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "part": pa.array([part], pa.int32()),
                         "block": binary([key]),
                         "ids": binary([ids.fill_null(0).to_numpy().astype("<i8").tobytes()]),
                         "missing": binary([np.packbits(missing).tobytes()]),
@@ -220,6 +222,7 @@ def exploded(docs: DataFrame, pattern: str, n_buckets: int, side: str) -> DataFr
             used = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_pydict(
                 {
+                    "part": pa.array([part] * len(used), pa.int32()),
                     "block": binary([key] * len(used)),
                     "bucket": pa.array(used, pa.int32()),
                     "n": pa.array([int(cuts[b + 1] - cuts[b]) for b in used], pa.int32()),
@@ -253,12 +256,13 @@ def coded(words: DataFrame, path: str, n_buckets: int) -> DataFrame:
                         got = known[w] = encode(w)
                     codes += got
                     counts.append(len(got))
+                out["part"].append(row["part"])
                 out["block"].append(row["block"])
                 out["n"].append(row["n"])
                 out["slots"].append(row["slots"])
                 out["counts"].append(pack_numbers(np.array(counts)))
                 out["codes"].append(pack_numbers(np.array(codes)))
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32()) if k == "n" else binary(v) for k, v in out.items()})
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32()) if k in ("part", "n") else binary(v) for k, v in out.items()})
 
     return by_bucket(words, n_buckets).sortWithinPartitions("bucket").mapInArrow(run, CODE_SIDE)
 
@@ -326,7 +330,7 @@ def encode_decode(
         trim()
         return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
 
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(reassemble, schema)
+    return by_part(left, n_buckets).cogroup(by_part(right, n_buckets)).applyInArrow(reassemble, schema)
 
 
 def token_table(spark, path: str) -> DataFrame:

@@ -19,7 +19,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
@@ -48,14 +49,14 @@ def shared_folder(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read back: it cuts the
     lineage, survives lost executors and is never computed twice."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,6 +103,18 @@ def by_bucket(rows: DataFrame, n_buckets: int) -> DataFrame:
     return rows.repartitionById(n_buckets, F.col("bucket"))
 
 
+def part_of(number: int, parts: int) -> int:
+    """The part that a task's ``number``-th block goes to: blocks of one task and
+    of neighbouring tasks spread evenly, and a rerun task gives the same."""
+    task = TaskContext.get()
+    return ((task.partitionId() if task else 0) + 37 * number) % parts
+
+
+def by_part(rows: DataFrame, parts: int) -> GroupedData:
+    """Rows (part, block, ...) dealt by part and grouped by block."""
+    return rows.repartitionById(parts, F.col("part")).groupBy("part", "block")
+
+
 def steady(rows: DataFrame) -> DataFrame:
     """``rows`` that a rerun task reads in the same order.
 

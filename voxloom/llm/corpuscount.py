@@ -8,9 +8,10 @@ rows, so hundreds of millions of them cost a few thousand rows; a key that is
 everywhere is one number a block.  The answer meets the block's texts again
 (shuffled once, compressed), where the keys are computed anew, not stored.
 
-The block's key is a digest of its rows, so readings that differ cannot mix;
-``rows`` have to be ``steady``, so that they do not differ.  Blocks that are
-equal row for row share a key and both get the answers.
+A block is known by its part (dealt evenly, so no task gets many) and a digest
+of its rows, so readings that differ cannot mix; ``rows`` have to be ``steady``,
+so that they do not differ.  Blocks of one part that are equal row for row both
+get the answers.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxloom.llm.bytebpe import block_key
-from voxloom.llm.common import BLOCK_BYTES, binary, blocks, by_bucket, byte_buffers, trim
+from voxloom.llm.common import BLOCK_BYTES, binary, blocks, by_bucket, by_part, byte_buffers, part_of, trim
 
 #: (bytes, offsets) of a block -> its distinct keys in rising order, a count of
 #: each, and whatever else ``finish`` wants of the way there.
 Keys = Callable[[np.ndarray, np.ndarray], tuple]
 
-TEXT_BLOCK = "block binary, ids binary, missing binary, sizes binary, n_bytes long, texts binary"
+TEXT_BLOCK = "part int, block binary, ids binary, missing binary, sizes binary, n_bytes long, texts binary"
 
 
 def pack_texts(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
@@ -51,14 +52,15 @@ def unpack_texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return ids, missing, data, np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))])
 
 
-def text_blocks(rows: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of (doc_id, text) rows, packed."""
+def text_blocks(rows: DataFrame, parts: int, limit: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of (doc_id, text) rows, packed, in ``parts`` parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", limit):
+        for number, block in enumerate(blocks(batches, "text", limit)):
             data, offsets = byte_buffers(block.column(1))
             key = block_key(block.column(0), data, offsets)
-            yield pa.RecordBatch.from_pydict({"block": binary([key])} | pack_texts(block.column(0), data, offsets))
+            place = {"part": pa.array([part_of(number, parts)], pa.int32()), "block": binary([key])}
+            yield pa.RecordBatch.from_pydict(place | pack_texts(block.column(0), data, offsets))
 
     return rows.mapInArrow(run, TEXT_BLOCK)
 
@@ -78,11 +80,11 @@ def key_bits(n_buckets: int) -> int:
 
 
 def key_blocks(rows: DataFrame, keys: Keys, n_buckets: int, limit: int) -> DataFrame:
-    """(block, bucket, n, keys, counts): what each block sends."""
+    """(part, block, bucket, n, keys, counts): what each block sends."""
     bits = key_bits(n_buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", limit):
+        for number, block in enumerate(blocks(batches, "text", limit)):
             data, offsets = byte_buffers(block.column(1))
             own, counts = keys(data, offsets)[:2]
             if not len(own):
@@ -94,6 +96,7 @@ def key_blocks(rows: DataFrame, keys: Keys, n_buckets: int, limit: int) -> DataF
             parts = [slice(cuts[b], cuts[b + 1]) for b in used]
             yield pa.RecordBatch.from_pydict(
                 {
+                    "part": pa.array([part_of(number, n_buckets)] * len(used), pa.int32()),
                     "block": binary([key] * len(used)),
                     "bucket": pa.array(used, pa.int32()),
                     "n": pa.array([p.stop - p.start for p in parts], pa.int32()),
@@ -102,11 +105,11 @@ def key_blocks(rows: DataFrame, keys: Keys, n_buckets: int, limit: int) -> DataF
                 }
             )
 
-    return rows.mapInArrow(run, "block binary, bucket int, n int, keys binary, counts binary")
+    return rows.mapInArrow(run, "part int, block binary, bucket int, n int, keys binary, counts binary")
 
 
 def totals(sent: DataFrame, n_buckets: int) -> DataFrame:
-    """(block, bucket, n, totals): the answers, in the order of the keys sent."""
+    """(part, block, bucket, n, totals): the answers, in the order of the keys sent."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group["bucket"][0].as_py()
@@ -126,16 +129,16 @@ def totals(sent: DataFrame, n_buckets: int) -> DataFrame:
         trim()
         return pa.table(
             {
-                "block": group["block"], "bucket": pa.array([bucket] * len(rows), pa.int32()), "n": group["n"],
+                "part": group["part"], "block": group["block"], "bucket": pa.array([bucket] * len(rows), pa.int32()), "n": group["n"],
                 "totals": binary([_planes(total[e - n : e], 4) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]),
             }
         )
 
-    return by_bucket(sent, n_buckets).groupBy("bucket").applyInArrow(run, "block binary, bucket int, n int, totals binary")
+    return by_bucket(sent, n_buckets).groupBy("bucket").applyInArrow(run, "part int, block binary, bucket int, n int, totals binary")
 
 
 def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int, limit: int = BLOCK_BYTES) -> DataFrame:
-    """Runs ``finish(block, ids, missing, data, offsets, keys, totals, ...)`` -> table
+    """Runs ``finish((part, block), ids, missing, data, offsets, keys, totals, ...)`` -> table
     on every block of ``rows`` (doc_id, text); ``totals[k]`` is the sum of the
     counts of ``keys[k]`` over all blocks."""
 
@@ -151,10 +154,10 @@ def with_totals(rows: DataFrame, keys: Keys, finish, schema: str, n_buckets: int
             total = np.concatenate([np.zeros(0, np.uint32), *seen.values()])
             if len(total) != len(mine):
                 raise RuntimeError("the two readings of the documents differ: a block lacks keys")
-            out.append(finish(row["block"], ids, missing, data, offsets, mine, total, *more))
+            out.append(finish((row["part"], row["block"]), ids, missing, data, offsets, mine, total, *more))
             del ids, missing, data, offsets, mine, total, more
             trim()
         return pa.concat_tables(out)
 
     answers = totals(key_blocks(rows, keys, n_buckets, limit), n_buckets)
-    return text_blocks(rows, limit).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return by_part(text_blocks(rows, n_buckets, limit), n_buckets).cogroup(by_part(answers, n_buckets)).applyInArrow(run, schema)

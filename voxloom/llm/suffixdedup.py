@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import binary, bucket_count, by_bucket, passing_tables, ragged, release_shuffles, steady, text_rows, trim, written
+from voxloom.llm.common import binary, bucket_count, by_bucket, by_part, passing_tables, ragged, release_shuffles, steady, text_rows, trim, written
 from voxloom.llm.corpuscount import text_blocks, unpack_texts, with_totals
 from voxloom.llm.hashing import BASE, byte_table, mix, span_hashes
 
@@ -266,8 +266,8 @@ def split_hot(
     )
 
 
-CONTEXTS = "block binary, bucket int, contexts binary, data binary, n_data long, gone binary"
-REMOVED = "block binary, gone binary"
+CONTEXTS = "part int, block binary, bucket int, contexts binary, data binary, n_data long, gone binary"
+REMOVED = "part int, block binary, gone binary"
 #: A context's numbers: document in the block, id, start in the document, starts, anchor's distance, anchor.
 FIELDS = 6
 
@@ -292,7 +292,7 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
 
         def put(bucket: int, numbers: np.ndarray, text: np.ndarray, over: np.ndarray) -> None:
             for name, value in (
-                ("block", block), ("bucket", bucket), ("contexts", numbers.tobytes()),
+                ("part", block[0]), ("block", block[1]), ("bucket", bucket), ("contexts", numbers.tobytes()),
                 ("data", pa.compress(text.tobytes(), "zstd", asbytes=True)), ("n_data", len(text)), ("gone", over.tobytes()),
             ):
                 columns[name].append(value)
@@ -306,7 +306,7 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
             own = keep[by_bucket[cuts[b] : cuts[b + 1]]]
             numbers = np.stack([doc[own], known[own], start[own], count[own], (anchor - first)[own], hashes[own].view(np.int64)], 1)
             put(int(b), numbers.astype("<i8"), data[ragged(first[own], count[own] + length - 1)], gone[:0])
-        kinds = {"block": pa.binary(), "bucket": pa.int32(), "contexts": pa.binary(), "data": pa.binary(), "n_data": pa.int64(), "gone": pa.binary()}
+        kinds = {"part": pa.int32(), "block": pa.binary(), "bucket": pa.int32(), "contexts": pa.binary(), "data": pa.binary(), "n_data": pa.int64(), "gone": pa.binary()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
     def keys(data: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -317,7 +317,7 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
 
 
 def removed_starts(found: DataFrame, n_buckets: int, length: int) -> DataFrame:
-    """(block, gone): starts that are not the earliest of their string."""
+    """(part, block, gone): starts that are not the earliest of their string."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -360,6 +360,7 @@ def removed_starts(found: DataFrame, n_buckets: int, length: int) -> DataFrame:
         used = np.flatnonzero(np.diff(cuts))
         return pa.table(
             {
+                "part": pa.array([rows[k]["part"] for k in used], pa.int32()),
                 "block": binary([rows[k]["block"] for k in used]),
                 "gone": binary([every[cuts[k] : cuts[k + 1], 1:].astype("<i8").tobytes() for k in used]),
             }
@@ -389,7 +390,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     with passing_tables(docs.sparkSession) as result:
         found = written(contexts(rows, n_buckets, length), "contexts")
         release_shuffles(docs.sparkSession)
-        gone = result(removed_starts(found, n_buckets, length).unionByName(found.filter("bucket < 0").select("block", "gone")), "gone")
+        gone = result(removed_starts(found, n_buckets, length).unionByName(found.filter("bucket < 0").select("part", "block", "gone")), "gone")
     release_shuffles(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
@@ -433,7 +434,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             kinds |= {"kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))}
         return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
 
-    return text_blocks(rows).groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(run, schema)
+    return by_part(text_blocks(rows, n_buckets), n_buckets).cogroup(by_part(gone, n_buckets)).applyInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
