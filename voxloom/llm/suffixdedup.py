@@ -139,9 +139,14 @@ def suffix_ranks(s: np.ndarray, span: int, needed: int) -> np.ndarray:
         order = suffix_ranks(name, 3 * span, needed)
         name = np.empty(len(order), np.int64)
         name[order] = np.arange(1, len(order) + 1)
+        distinct = len(order)
     rank = np.zeros(n + 4, np.int64)
     rank[sampled] = name
-    by_rank = sampled[np.argsort(name, kind="stable")]
+    if distinct == len(sampled):  # names are places
+        by_rank = np.empty_like(sampled)
+        by_rank[name - 1] = sampled
+    else:
+        by_rank = sampled[np.argsort(name)]
     by_rank = by_rank[by_rank < n]
     # the remaining suffixes by first symbol and neighbour's rank
     rest = np.arange(0, n, 3)
@@ -149,7 +154,7 @@ def suffix_ranks(s: np.ndarray, span: int, needed: int) -> np.ndarray:
     wide = int(padded.max(initial=0)).bit_length()
     key = lambda i: padded[i].astype(np.uint64) << np.uint64(low) | rank[i + 1].astype(np.uint64)
     own = key(rest)
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own)
     rest, own = rest[order], own[order]
     # merge: each remaining suffix goes after the sampled ones that are less
     one = by_rank[by_rank % 3 == 1]
@@ -316,57 +321,59 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
     return with_totals(rows, keys, finish, CONTEXTS, n_buckets)
 
 
+def gone_of_bucket(group: pa.Table, length: int) -> pa.Table:
+    """The rows of REMOVED of one bucket's contexts."""
+    rows = group.to_pylist()
+    numbers = np.concatenate([np.frombuffer(r["contexts"], "<i8").reshape(-1, FIELDS) for r in rows])
+    source = np.repeat(np.arange(len(rows)), [len(r["contexts"]) // (8 * FIELDS) for r in rows])
+    data = np.concatenate([np.frombuffer(pa.decompress(r["data"], r["n_data"], "zstd", asbytes=True), np.uint8) for r in rows])
+    count = numbers[:, 3]
+    sizes = count + length - 1
+    first = np.cumsum(sizes) - sizes
+    place = place_ranks(numbers[:, 1], numbers[:, 2])
+    hashes = numbers[:, 5].copy().view(np.uint64)
+    keep, later = fold_equal(data, first, count, numbers[:, 4], hashes, place, length)
+    gone = [np.stack([source[later], numbers[later, 0], numbers[later, 2], count[later]], 1)]
+    keep = keep[np.argsort(hashes[keep], kind="stable")]
+    # equal strings share an anchor: sort suffixes anchor by anchor, many at a time
+    heads = np.flatnonzero(np.concatenate([[True], hashes[keep][1:] != hashes[keep][:-1]])) if len(keep) else keep
+    filled = np.concatenate([[0], np.cumsum(sizes[keep])])
+    at = 0
+    while at < len(heads):
+        begin = heads[at]
+        stop = max(at + 1, int(np.searchsorted(filled[heads], filled[begin] + SORT_BYTES, "right")) - 1)
+        end = heads[stop] if stop < len(heads) else len(keep)
+        own = keep[begin:end]
+        later_flags = later_starts(data, first[own], count[own], place[own], length)
+        owner = np.repeat(np.arange(len(own)), count[own])
+        offset = ragged(np.zeros(len(own), np.int64), count[own])
+        edge = np.ones(len(owner), bool)
+        edge[1:] = (owner[1:] != owner[:-1]) | (later_flags[1:] != later_flags[:-1])
+        begin_run = np.flatnonzero(edge)
+        run_size = np.diff(np.append(begin_run, len(owner)))
+        is_later = later_flags[begin_run]
+        who, run_size, lead = own[owner[begin_run][is_later]], run_size[is_later], offset[begin_run][is_later]
+        gone.append(np.stack([source[who], numbers[who, 0], numbers[who, 2] + lead, run_size], 1))
+        at = stop
+    del data, numbers, hashes, sizes, first, place, count
+    trim()
+    every = np.concatenate(gone)
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    cuts = np.searchsorted(every[:, 0], np.arange(len(rows) + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    return pa.table(
+        {
+            "part": pa.array([rows[k]["part"] for k in used], pa.int32()),
+            "block": binary([rows[k]["block"] for k in used]),
+            "gone": binary([every[cuts[k] : cuts[k + 1], 1:].astype("<i8").tobytes() for k in used]),
+        }
+    )
+
+
 def removed_starts(found: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """(part, block, gone): starts that are not the earliest of their string."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        numbers = np.concatenate([np.frombuffer(r["contexts"], "<i8").reshape(-1, FIELDS) for r in rows])
-        source = np.repeat(np.arange(len(rows)), [len(r["contexts"]) // (8 * FIELDS) for r in rows])
-        data = np.concatenate([np.frombuffer(pa.decompress(r["data"], r["n_data"], "zstd", asbytes=True), np.uint8) for r in rows])
-        count = numbers[:, 3]
-        sizes = count + length - 1
-        first = np.cumsum(sizes) - sizes
-        place = place_ranks(numbers[:, 1], numbers[:, 2])
-        hashes = numbers[:, 5].copy().view(np.uint64)
-        keep, later = fold_equal(data, first, count, numbers[:, 4], hashes, place, length)
-        gone = [np.stack([source[later], numbers[later, 0], numbers[later, 2], count[later]], 1)]
-        keep = keep[np.argsort(hashes[keep], kind="stable")]
-        # equal strings share an anchor: sort suffixes anchor by anchor, many at a time
-        heads = np.flatnonzero(np.concatenate([[True], hashes[keep][1:] != hashes[keep][:-1]])) if len(keep) else keep
-        filled = np.concatenate([[0], np.cumsum(sizes[keep])])
-        at = 0
-        while at < len(heads):
-            begin = heads[at]
-            stop = max(at + 1, int(np.searchsorted(filled[heads], filled[begin] + SORT_BYTES, "right")) - 1)
-            end = heads[stop] if stop < len(heads) else len(keep)
-            own = keep[begin:end]
-            later_flags = later_starts(data, first[own], count[own], place[own], length)
-            owner = np.repeat(np.arange(len(own)), count[own])
-            offset = ragged(np.zeros(len(own), np.int64), count[own])
-            edge = np.ones(len(owner), bool)
-            edge[1:] = (owner[1:] != owner[:-1]) | (later_flags[1:] != later_flags[:-1])
-            begin_run = np.flatnonzero(edge)
-            run_size = np.diff(np.append(begin_run, len(owner)))
-            is_later = later_flags[begin_run]
-            who, run_size, lead = own[owner[begin_run][is_later]], run_size[is_later], offset[begin_run][is_later]
-            gone.append(np.stack([source[who], numbers[who, 0], numbers[who, 2] + lead, run_size], 1))
-            at = stop
-        del data, numbers, hashes, sizes, first, place, count
-        trim()
-        every = np.concatenate(gone)
-        every = every[np.argsort(every[:, 0], kind="stable")]
-        cuts = np.searchsorted(every[:, 0], np.arange(len(rows) + 1))
-        used = np.flatnonzero(np.diff(cuts))
-        return pa.table(
-            {
-                "part": pa.array([rows[k]["part"] for k in used], pa.int32()),
-                "block": binary([rows[k]["block"] for k in used]),
-                "gone": binary([every[cuts[k] : cuts[k + 1], 1:].astype("<i8").tobytes() for k in used]),
-            }
-        )
-
-    return by_bucket(found.filter("bucket >= 0"), n_buckets).groupBy("bucket").applyInArrow(run, REMOVED)
+    dealt = by_bucket(found.filter("bucket >= 0"), n_buckets)
+    return dealt.groupBy("bucket").applyInArrow(lambda group: gone_of_bucket(group, length), REMOVED)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
