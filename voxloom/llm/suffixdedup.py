@@ -315,8 +315,9 @@ def contexts(rows: DataFrame, n_buckets: int, length: int) -> DataFrame:
         return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
     def keys(data: np.ndarray, offsets: np.ndarray) -> tuple:
-        runs = anchor_runs(data, offsets, length)
-        return *np.unique(runs[3], return_counts=True), *runs
+        first, count, anchor, least = anchor_runs(data, offsets, length)
+        hashes = mix(least)  # anchors are least hashes: their high bits are mostly 0, and would fill few buckets
+        return *np.unique(hashes, return_counts=True), first, count, anchor, hashes
 
     return with_totals(rows, keys, finish, CONTEXTS, n_buckets)
 
