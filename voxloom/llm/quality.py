@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, byte_buffers, text_rows, written
+from voxloom.llm.common import blocks, byte_buffers, passing_tables, text_rows, written
 from voxloom.llm.hashing import word_hashes
 
 STATISTICS = (
@@ -122,8 +122,8 @@ def fit(labelled: DataFrame, dims: int, shrinkage: float = SHRINKAGE) -> Discrim
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + dims + dims * dims))
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, dims)
-            y = np.array(batch.column(1).to_pylist(), np.int64)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            y = batch.column(1).to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 own = x[y == k]
                 sums[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
@@ -174,8 +174,9 @@ def keep_quality(
     read and never shuffled.  Edge cases are those of ``quality_scores``; with
     nothing learned every row stays.
     """
-    known = written(document_statistics(docs, id_col, text_col), "statistics")
-    model = fit_labels(known, labels, id_col, label_col, shrinkage)
+    with passing_tables(docs.sparkSession):
+        known = written(document_statistics(docs, id_col, text_col), "statistics")
+        model = fit_labels(known, labels, id_col, label_col, shrinkage)
     if model is None:
         return docs
     at = docs.columns.index(text_col)
