@@ -125,6 +125,28 @@ def nearest_asof(
     return found.select(*left.columns, "__best.*", F.col("__gap").alias("asof_gap"))
 
 
+def nearest_entry(left: DataFrame, right: DataFrame, seq: str, left_id: str, left_t: str, right_idx: str, right_t: str) -> DataFrame:
+    """seq, left_id, right_idx and gap: each left row with the nearest right row
+    at any distance, ties to the smaller ``right_idx``; none where a sequence has
+    no right rows.
+
+    Both sides are put in one order by time, so each left row sees its neighbours
+    on either side: no pairs are made.
+    """
+    once = right.groupBy(seq, F.col(right_t).alias("__t")).agg(F.min(right_idx).alias("__idx")).withColumn("__here", F.struct("__t", "__idx"))
+    none = F.lit(None).cast(once.schema["__here"].dataType.simpleString())
+    rows = left.select(seq, F.col(left_t).alias("__t"), F.col(left_id).alias("__id"), F.lit(1).alias("__side"), none.alias("__here"))
+    marks = once.select(seq, "__t", F.lit(None).cast(left.schema[left_id].dataType).alias("__id"), F.lit(0).alias("__side"), "__here")
+    order = Window.partitionBy(seq).orderBy("__t", "__side")
+    before = F.last("__here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("__here", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = rows.unionByName(marks).withColumn("__before", before).withColumn("__after", after).filter("__side = 1")
+    choice = lambda c: F.when(F.col(c).isNotNull(), F.struct(time_difference(F.col("__t"), F.col(c)["__t"]).alias("gap"), F.col(c)["__idx"].alias("idx")))
+    best = F.least(choice("__before"), choice("__after"))
+    found = seen.withColumn("__best", best).filter("__best is not null")
+    return found.select(seq, F.col("__id").alias(left_id), F.col("__best")["idx"].alias(right_idx), F.col("__best")["gap"].alias("gap"))
+
+
 def ordered_matching(a: np.ndarray, b: np.ndarray, width: float) -> list[tuple[int, int]]:
     """Pairs of two sorted time lists within ``width`` that keep the order of
     both, as many as possible and then with the least total difference.

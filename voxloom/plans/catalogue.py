@@ -16,12 +16,13 @@ from voxloom.plans.standins import FINE, SEEN, depth_pixels, halves, image_files
 from voxloom.replay import frame_points, replay_table
 from voxloom.replay import semantic_pixels as label_pixels
 from voxloom.session import saved, scratch
-from voxloom.sinks.maps import npz_snapshots, overlay_png, read_npz, write_experiments, write_snapshot
+from voxloom.sinks.maps import label_arrays, npz_snapshots, overlay_png, read_label_arrays, read_npz, write_experiments, write_snapshot
 from voxloom.sinks.ply import class_points, ply_lines
 from voxloom.sinks.ply import finite_points as drop_not_finite
 from voxloom.sources.png import encode_png
 from voxloom.sources.sequence import decode_frames, parse_index, parse_poses, read_snapshots
 from voxloom.streaming.mapping import last_map, stream_map, write_frames
+from voxloom.streaming.visits import stream_visits, visits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,6 +234,17 @@ def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(streamed(spark, sf_dir, 2))
 
 
+@query("WITH " + OBS + " SELECT ix, iy, iz, count(DISTINCT floor(frame_idx / 48)) AS frames, count(*) AS observations FROM o GROUP BY ALL")
+def voxel_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames (of four years) and observations of each voxel, by a state of one's own.
+    All frames come in one micro-batch: files of one second have no order."""
+    obs = observations(spark, sf_dir).withColumn("frame_idx", F.floor(F.col("frame_idx") / 48).cast("int")).select("x", "y", "z", "frame_idx")
+    base = scratch(spark, "visits")
+    write_frames(obs, f"{base}/frames")
+    stream_visits(spark, f"{base}/frames", obs.schema, SIZE, f"{base}/state", f"{base}/changes", 1000)
+    return visits(spark, f"{base}/changes")
+
+
 @query(MAP)
 def voxel_map_empty_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update without observations changes nothing."""
@@ -364,6 +376,16 @@ def assoc_nearest_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("depth_idx", "pose_idx", "asof_gap")
 
 
+@query("""
+WITH b AS (SELECT event_id AS depth_idx, epoch_us(ts) AS depth_t FROM events WHERE event_type = 'click'),
+p AS (SELECT event_id AS pose_idx, epoch_us(ts) AS pose_t FROM events WHERE event_type = 'error')
+SELECT depth_idx, arg_min(pose_idx, (abs(depth_t - pose_t), pose_idx)) AS pose_idx, min(abs(depth_t - pose_t)) AS gap FROM b, p GROUP BY depth_idx""")
+def assoc_nearest_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest pose at any distance."""
+    depth, pose = times(spark, sf_dir, "click", "depth"), times(spark, sf_dir, "error", "pose")
+    return assoc.nearest_entry(depth, pose, "seq_id", "depth_idx", "depth_t", "pose_idx", "pose_t").drop("seq_id")
+
+
 @query("WITH " + CANDIDATES + " SELECT count(*) AS n, avg(difference) AS mean, max(difference) AS max, CAST(median(difference) AS DOUBLE) AS median FROM c")
 def assoc_time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assoc.time_statistics(candidates(spark, sf_dir), "difference")
@@ -634,6 +656,12 @@ def semantic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_pixels(frames, halves, 2).drop("seq_id")
 
 
+@query("WITH " + PIXELS + " SELECT vec_id, v, u, label, conf FROM d")
+def label_array_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and confidences of each image, written as arrays and read back."""
+    return read_label_arrays(label_arrays(depth_pixels(spark, sf_dir), ["vec_id"]), ["vec_id"])
+
+
 @query("WITH " + HSV + f", c AS (SELECT label, {BYTES} FROM palette), " + IMAGES + """
 SELECT vec_id, v, u, """ + ", ".join(f"CAST(trunc(least(greatest(0.55::DOUBLE * CAST({n} AS DOUBLE) + 0.45::DOUBLE * {c}, 0), 255)) AS SMALLINT) AS {n}" for n, c in (("red", "r"), ("green", "g"), ("blue", "b"))) + """
 FROM x JOIN c ON c.label = x.raw % 150""")

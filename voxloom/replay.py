@@ -7,7 +7,7 @@
 ``python -m voxloom.build`` takes a recorded folder to snapshots and a map;
 ``python -m voxloom.replay --snapshots ... --points ... --output ...`` writes
 what a renderer needs of each snapshot: thresholded labels with colours, the
-caption, the fixed camera and how often the frame is shown.
+caption, the fixed camera, how often the frame is shown, and its settings.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions.checks import positive
 from voxloom.functions.pixels import CX, CY, FX, FY, depth_to_metres, unit_colour
 from voxloom.operators import association as assoc
 from voxloom.operators import fusion, geometry, metrics, selection, semantics
@@ -152,6 +153,8 @@ class Parameters:
     agreement: float = semantics.AGREEMENT
     confidence: float = semantics.CONFIDENCE
     hold_seconds: float = 2.0
+    layout: str = "map"
+    point_size: float = 3.0
 
 
 def parse_arguments(argv: list[str] | None = None) -> Parameters:
@@ -163,6 +166,8 @@ def parse_arguments(argv: list[str] | None = None) -> Parameters:
     parser.add_argument("--agreement", type=float, default=Parameters.agreement)
     parser.add_argument("--confidence", type=float, default=Parameters.confidence)
     parser.add_argument("--hold-seconds", type=float, default=Parameters.hold_seconds)
+    parser.add_argument("--layout", choices=("map", "triple"), default=Parameters.layout, help="the map alone, or beside image and overlay")
+    parser.add_argument("--point-size", type=float, default=Parameters.point_size)
     return Parameters(**vars(parser.parse_args(argv)))
 
 
@@ -171,12 +176,15 @@ def main(argv: list[str] | None = None) -> None:
     from voxloom.sources.sequence import read_snapshots
 
     p = parse_arguments(argv)
+    size = positive("the point size", p.point_size)
     spark = session("replay")
     snapshots = read_snapshots(spark, p.snapshots)
     current = spark.read.parquet(p.points) if p.points else grown_points(snapshots)
     last = snapshots.join(snapshots.agg(F.max("snapshot_frame").alias("last")), F.col("snapshot_frame") == F.col("last"))
     replay_table(snapshots, current, p.fps, p.hold_seconds, p.agreement, p.confidence).write.mode("overwrite").parquet(f"{p.output}/frames")
     coloured_snapshots(spark, snapshots, p.agreement, p.confidence).write.mode("overwrite").partitionBy("snapshot_frame").parquet(f"{p.output}/voxels")
+    settings = spark.createDataFrame([(p.layout, size, p.fps, p.hold_seconds)], "layout string, point_size double, fps double, hold_seconds double")
+    settings.write.mode("overwrite").parquet(f"{p.output}/settings")
     geometry.fixed_camera(last).write.mode("overwrite").parquet(f"{p.output}/camera")
 
 

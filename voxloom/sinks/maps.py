@@ -83,6 +83,44 @@ def read_npz(files: DataFrame) -> DataFrame:
     return files.select("snapshot_frame", "npz").mapInPandas(run, NPZ_ROWS)
 
 
+def label_arrays(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, labels and confidence: the pixels of each frame (keys, v, u, label,
+    conf) as the bytes of two NPY files; all pixels must be there."""
+    kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+
+    def packed(values: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        np.save(out, values)
+        return out.getvalue()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shape = (int(group["v"].max()) + 1, int(group["u"].max()) + 1)
+        if len(group) != shape[0] * shape[1]:
+            raise ValueError("an image lacks pixels or has some twice")
+        labels, confidence = np.zeros(shape, np.int64), np.zeros(shape, np.float32)
+        labels[group["v"], group["u"]], confidence[group["v"], group["u"]] = group["label"], group["conf"]
+        return pd.DataFrame({k: [group[k].iloc[0]] for k in keys} | {"labels": [packed(labels)], "confidence": [packed(confidence)]})
+
+    chosen = pixels.select(*keys, "v", "u", "label", "conf")
+    return chosen.groupBy(*keys).applyInPandas(run, f"{kinds}, labels binary, confidence binary")
+
+
+def read_label_arrays(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """The pixels of ``label_arrays`` rows: keys, v, u, label and conf."""
+    kinds = ", ".join(f"{k} {arrays.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                labels, confidence = (np.load(io.BytesIO(bytes(row[c]))) for c in ("labels", "confidence"))
+                if labels.shape != confidence.shape:
+                    raise ValueError("labels and confidences differ in size")
+                v, u = (x.ravel() for x in np.indices(labels.shape))
+                yield pd.DataFrame({k: row[k] for k in keys} | {"v": v, "u": u, "label": labels.ravel(), "conf": confidence.ravel()})
+
+    return arrays.select(*keys, "labels", "confidence").mapInPandas(run, f"{kinds}, v int, u int, label bigint, conf float")
+
+
 def load_npz(data: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as found:
         return {k: found[k] for k in found.files}
