@@ -106,7 +106,7 @@ def percentile(df: DataFrame, column: str, q: float = 0.98, name: str = "value")
 
     low = ranked(ranks[0])
     high = low if ranks[1] == ranks[0] else ranked(ranks[1])
-    return spark.createDataFrame([(low if low == high else (ranks[1] - at) * low + (at - ranks[0]) * high,)], f"{name} double")
+    return spark.createDataFrame([(low + (high - low) * (at - ranks[0]),)], f"{name} double")
 
 
 def experiment_rows(
