@@ -40,13 +40,13 @@ def test_awkward_rows(spark):
     run = "a" * 330
     rows = [(4, "start " + passage + " end"), (2, passage), (2, passage), (None, passage[:120]), (7, None), (8, ""), (9, run), (1, "b" + run), (3, "short")]
     rows += [(20 + k, passage[k:] + str(k)) for k in range(6)]
-    found = sorted(((r.doc_id, r.start) for r in repeated_starts(table(spark, rows), 100).collect()), key=str)
-    assert found == brute(rows, 100)
+    found = sorted(((r.doc_id, r.start) for r in repeated_starts(table(spark, rows), 80).collect()), key=str)
+    assert found == brute(rows, 80)
     covered = {}
     for doc_id, start in found:
-        covered.setdefault(doc_id, set()).update(range(start, start + 100))
+        covered.setdefault(doc_id, set()).update(range(start, start + 80))
     unique = [r for r in rows if r[0] != 2]  # of a repeated id the cuts are by row
-    cuts = [r for r in cut_repeats(table(spark, rows), 100, keep_text=False).collect() if r.doc_id != 2]
+    cuts = [r for r in cut_repeats(table(spark, rows), 80, keep_text=False).collect() if r.doc_id != 2]
     assert {r.doc_id: r.n_removed for r in cuts} == {k: len(covered.get(k, ())) for k, _ in unique}
 
 
