@@ -7,8 +7,14 @@ buckets, with the exact condition left as a filter.
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +62,8 @@ def match_greedy(candidates: DataFrame, seq: str, left: str, right: str, differe
     """One-to-one matching by rising difference, a task for each sequence.
 
     The pass is sequential within a sequence; sequences run in parallel.  For a
-    sequence too large for a worker use ``match_mutual``, which gives the same
-    rows.
+    sequence too large for a worker use ``match_nearest``, or ``match_mutual`` on
+    candidates that are not those of a band; both give the same rows.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -66,6 +72,163 @@ def match_greedy(candidates: DataFrame, seq: str, left: str, right: str, differe
     return candidates.groupBy(seq).applyInPandas(run, candidates.schema)
 
 
+#: Entries of both sides that a task of ``match_nearest`` is given.
+ENTRIES = 32_768
+
+
+def nearest_pairs(t: np.ndarray, side: np.ndarray, idx: np.ndarray, width: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy pairs of a stretch of a sequence that hold whatever lies
+    outside: rows of the left side (0), of the right (1), and the undecided rows.
+
+    ``low`` and ``high`` are the nearest times outside (infinite: none).  The
+    least difference left is between neighbours in time, so only neighbours are
+    looked at and no candidates are listed.  A pair that something at or beyond
+    an end could keep apart moves that end to its far side; what is then outside,
+    or within ``width`` of it and unmatched, stays undecided.
+    """
+    order = np.lexsort((idx, side, t))
+    at = t[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(at)])
+    lefts = np.add.reduceat(side[order] == 0, first, dtype=np.int64) if len(at) else size
+    both = np.minimum(lefts, size - lefts)
+    # equal times: by place on either side
+    place = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+    one = (np.repeat(first, both) + place).tolist()
+    two = (np.repeat(first + lefts, both) + place).tolist()
+    kept = size > 2 * both
+    is_left = (lefts > both)[kept]
+    head = np.where(is_left, first[kept] + both[kept], first[kept] + lefts[kept] + both[kept]).tolist()
+    end = (first + np.where(lefts > both, lefts, size))[kept].tolist()
+    gt, is_left, ids = at[first[kept]].tolist(), is_left.tolist(), idx[order].tolist()
+    n = len(gt)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap: list[tuple] = []
+
+    def meet(a: int, b: int) -> None:
+        if a >= 0 and b >= 0 and is_left[a] != is_left[b] and gt[b] - gt[a] <= width:
+            l, r = (a, b) if is_left[a] else (b, a)
+            heapq.heappush(heap, (gt[b] - gt[a], ids[head[l]], ids[head[r]], a, b))
+
+    for a in range(n - 1):
+        meet(a, a + 1)
+    while heap:
+        gap, left, right, a, b = heapq.heappop(heap)
+        if head[a] == end[a] or head[b] == end[b] or after[a] != b or gt[a] <= low or gt[b] >= high:
+            continue
+        l, r = (a, b) if is_left[a] else (b, a)
+        if ids[head[l]] != left or ids[head[r]] != right:
+            meet(a, b)
+        elif gap >= gt[a] - low:
+            low = gt[b]
+        elif gap >= high - gt[b]:
+            high = gt[a]
+        else:
+            one.append(head[l])
+            two.append(head[r])
+            for g in (a, b):
+                head[g] += 1
+                if head[g] == end[g]:
+                    p, q = before[g], after[g]
+                    if p >= 0:
+                        after[p] = q
+                    if q >= 0:
+                        before[q] = p
+            if head[a] < end[a]:
+                meet(a, after[a])
+            elif head[b] < end[b]:
+                meet(before[b], b)
+            else:
+                meet(before[b], after[b])
+    rest = [k for g in range(n) if gt[g] - low <= width or high - gt[g] <= width for k in range(head[g], end[g])]
+    return tuple(order[np.array(x, np.int64)] for x in (one, two, rest))
+
+
+def stretch_pairs(seq: str, width: float, ends: dict[int, tuple]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """``nearest_pairs`` of the entries of one range, for each sequence in it:
+    pairs, and undecided entries with nulls for the other side.  ``ends``: for
+    each range the last (sequence, time) before it and the first after it."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = ends.get(key[0].as_py(), (None, None))
+        names = table[seq].combine_chunks().dictionary_encode()
+        code = names.indices.to_numpy()
+        side, idx, t = (table[c].to_numpy() for c in ("__side", "__idx", "__t"))
+        found: list[list[np.ndarray]] = [[], [], []]
+        for k, name in enumerate(names.dictionary.to_pylist()):
+            own = np.flatnonzero(code == k)
+            below = low[1] if low and low[0] == name else -math.inf
+            above = high[1] if high and high[0] == name else math.inf
+            for rows, x in zip(found, nearest_pairs(t[own], side[own], idx[own], width, below, above), strict=True):
+                rows.append(own[x])
+        left, right, rest = map(np.concatenate, found)
+        columns = [table[seq].take(pa.array(np.r_[left, rest]))]
+        for k, taken in enumerate((left, right)):
+            rows, lacks = np.r_[taken, rest], np.r_[np.zeros(len(taken), bool), side[rest] != k]
+            columns += [pa.array(idx[rows], mask=lacks), pa.array(t[rows], mask=lacks)]
+        return pa.table(columns, names=[seq, "l", "lt", "r", "rt"])
+
+    return run
+
+
+def match_nearest(left: DataFrame, right: DataFrame, seq: str, left_idx: str, left_t: str, right_idx: str, right_t: str, width: float, rows: int = ENTRIES) -> DataFrame:
+    """``match_greedy`` of the pairs within ``width``: seq, left_idx, right_idx
+    and difference, without making the candidates.
+
+    Entries of both sides are dealt by range of time, ``rows`` to a task, and
+    each task takes the pairs that nothing outside its range can change
+    (``nearest_pairs``).  The entries left, those near the ends of ranges, are
+    dealt again to half as many ranges at most; the last round has one and
+    decides the rest.  A chain of rising differences through a whole sequence
+    would leave all its entries, not its candidates, to that round.
+
+    Neighbours decide only where differences are exact.  Indexes that repeat or
+    are null, times that are not BIGINT or DOUBLE, or DOUBLE ones below the width,
+    whose differences are rounded, go by their candidates.
+    """
+    if not width >= 0:
+        raise ValueError("the width is at least 0")
+
+    def side(df: DataFrame, k: int, idx: str, t: str) -> DataFrame:
+        return df.select(seq, F.lit(k).alias("__side"), F.col(idx).alias("__idx"), F.col(t).alias("__t")).filter(f"{seq} is not null and __t is not null and not isnan(__t)")
+
+    one, two = side(left, 0, left_idx, left_t), side(right, 1, right_idx, right_t)
+    kind, types = one.schema["__t"].dataType.simpleString(), (dict(one.dtypes), dict(two.dtypes))
+    entries = one.unionByName(two)
+    exact = types[0] == types[1] and types[0]["__idx"] == "bigint" and kind in ("bigint", "double")
+    if exact:
+        each = entries.groupBy(seq, "__side", "__idx").agg(F.count("*").alias("n"), F.min("__t").alias("low"), F.max("__t").alias("high"))
+        counts = each.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(F.col("__idx").isNull()).alias("none")).first()
+        n = counts["n"] or 0
+        exact = not n or counts["most"] == 1 and not counts["none"] and (kind == "bigint" or counts["low"] >= width and counts["high"] < math.inf)
+    if not exact:
+        pairs = band_join(left, right, left_t, right_t, width, [seq])
+        pairs = pairs.select(seq, left_idx, right_idx, time_difference(F.col(left_t), F.col(right_t)).alias("difference"))
+        return match_greedy(pairs, seq, left_idx, right_idx, "difference")
+
+    schema = f"{seq} {types[0][seq]}, l bigint, lt {kind}, r bigint, rt {kind}"
+    taken, parts = [], 0
+    while parts != 1:
+        wanted = max(1, math.ceil(n / rows))
+        parts = min(wanted, max(1, parts // 2)) if taken else wanted
+        ends: dict[int, tuple] = {}
+        if parts == 1:
+            dealt = entries.withColumn("__part", F.lit(0))
+        else:
+            dealt = saved(entries.repartitionByRange(parts, seq, "__t").withColumn("__part", F.spark_partition_id()), "stretches")
+            span = F.struct(seq, "__t")
+            found = sorted(map(tuple, dealt.groupBy("__part").agg(F.min(span), F.max(span)).collect()))
+            ends = {p: (found[k - 1][2] if k else None, found[k + 1][1] if k + 1 < len(found) else None) for k, (p, _, _) in enumerate(found)}
+
+        out = saved(dealt.groupBy("__part").applyInArrow(stretch_pairs(seq, width, ends), schema), "matched")
+        taken.append(out.filter("l is not null and r is not null"))
+        rest = out.filter("l is null or r is null")
+        entries = rest.select(seq, F.when(F.col("r").isNull(), 0).otherwise(1).alias("__side"), F.coalesce("l", "r").alias("__idx"), F.coalesce("lt", "rt").alias("__t"))
+        n = entries.count() if parts > 1 else 0
+    pairs = reduce(DataFrame.unionByName, taken)
+    return pairs.select(seq, F.col("l").alias(left_idx), F.col("r").alias(right_idx), time_difference(F.col("lt"), F.col("rt")).alias("difference"))
+
+
 def match_mutual(candidates: DataFrame, seq: str, left: str, right: str, difference: str, save, rounds: int = 50) -> DataFrame:
     """The greedy matching by rounds of mutually best candidates.
 

@@ -343,9 +343,14 @@ def assoc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).drop("seq_id")
 
 
+def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb, depth = times(spark, sf_dir, "view", "rgb"), times(spark, sf_dir, "click", "depth")
+    return assoc.match_nearest(rgb, depth, "seq_id", "rgb_idx", "rgb_t", "depth_idx", "depth_t", WIDTH)
+
+
 @query(GREEDY)
 def assoc_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assoc.match_greedy(candidates(spark, sf_dir), "seq_id", "rgb_idx", "depth_idx", "difference").drop("seq_id")
+    return matched_events(spark, sf_dir).drop("seq_id")
 
 
 @query(GREEDY)
