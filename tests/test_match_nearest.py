@@ -57,3 +57,20 @@ def test_the_query_makes_no_candidates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(assoc, "band_join", lambda *_: pytest.fail("candidates are joined"))
     found = sorted(map(tuple, catalogue.assoc_greedy(spark, str(tmp_path)).collect()))
     assert found == [(2 * k, 2 * k + 1, 0) for k in range(1500)]
+
+
+def test_places_of_sequences_over_ranges(spark):
+    """Sequences of one row, of many and of all ranges; no task sorts a sequence."""
+    rng = random.Random(2)
+    rows = [(s, rng.randrange(50), float(rng.randrange(3)), k, k) for s, n in (("a", 1), ("b", 900), (None, 3), ("c", 40)) for k in range(n)]
+    pairs = spark.createDataFrame(rows, "seq_id string, depth_t bigint, difference double, rgb_idx bigint, depth_idx bigint")
+    ordered = assoc.in_depth_order(pairs, "seq_id", "depth_t", "difference", "rgb_idx", "depth_idx")
+    assert ordered.columns == [*pairs.columns, "rec_idx"] and ordered.schema["rec_idx"].dataType.simpleString() == "int"
+    found = sorted((r["seq_id"] or "", *r[1:5], r["rec_idx"]) for r in ordered.collect())
+    wanted, last = [], {}
+    for row in sorted((s or "", *x) for s, *x in rows):
+        last[row[0]] = last.get(row[0], -1) + 1
+        wanted.append((*row, last[row[0]]))
+    assert found == wanted
+    plan = ordered._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(__part" in plan and "row_number() windowspecdefinition(seq_id" not in plan

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.metrics import percentile
+from voxloom.operators.selection import ranged_places
 from voxloom.session import saved
 
 
@@ -256,9 +257,10 @@ def match_mutual(candidates: DataFrame, seq: str, left: str, right: str, differe
 
 
 def in_depth_order(pairs: DataFrame, seq: str, depth_t: str, difference: str, left: str, right: str) -> DataFrame:
-    """Numbers the pairs of a sequence by depth time: rec_idx from 0."""
-    order = Window.partitionBy(seq).orderBy(depth_t, difference, left, right)
-    return pairs.withColumn("rec_idx", (F.row_number().over(order) - 1).cast("int"))
+    """Numbers the pairs of a sequence by depth time: rec_idx from 0.  Pairs are
+    dealt by range and written once, so a sequence may exceed a task."""
+    placed = ranged_places(pairs, [seq], [depth_t, difference, left, right], "rec_idx")
+    return placed.withColumn("rec_idx", F.col("rec_idx").cast("int"))
 
 
 def nearest_asof(

@@ -19,16 +19,22 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "rec_idx", by
     """
     if by:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    return ranged_places(df, [], order, name)
+
+
+def ranged_places(df: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """``numbered`` by ranges of ``by`` and ``order``: groups may be of any size."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     # within a range partition a window is local; partition sizes make places global
-    local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    placed = local.join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("bigint"))
-    return placed.drop("__part", "__at", "__start")
+    local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)))
+    sizes = dealt.groupBy("__part", *by).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    keys = {"__part": "__p"} | {c: f"__of{k}" for k, c in enumerate(by)}
+    starts = sizes.select(*[F.col(c).alias(n) for c, n in keys.items()], F.coalesce(before, F.lit(0)).alias("__start"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in keys.items()]
+    placed = local.join(starts, same).withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("bigint"))
+    return placed.drop(*keys.values(), "__part", "__at", "__start")
 
 
 def every_nth(df: DataFrame, step: int, index: str = "rec_idx") -> DataFrame:

@@ -362,7 +362,7 @@ def assoc_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GREEDY.replace("SELECT c.rgb_idx, c.depth_idx, c.difference FROM", "SELECT c.rgb_idx, c.depth_idx, CAST(row_number() OVER (ORDER BY b.depth_t, c.difference, c.rgb_idx, c.depth_idx) - 1 AS INTEGER) AS rec_idx FROM") + " JOIN b USING (depth_idx)")
 def assoc_depth_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matched pairs numbered by depth time."""
-    matched = assoc.match_greedy(candidates(spark, sf_dir), "seq_id", "rgb_idx", "depth_idx", "difference")
+    matched = matched_events(spark, sf_dir)
     depth = times(spark, sf_dir, "click", "depth").select("depth_idx", "depth_t")
     ordered = assoc.in_depth_order(matched.join(depth, "depth_idx"), "seq_id", "depth_t", "difference", "rgb_idx", "depth_idx")
     return ordered.select("rgb_idx", "depth_idx", "rec_idx")
