@@ -293,23 +293,40 @@ def nearest_asof(
 def nearest_entry(left: DataFrame, right: DataFrame, seq: str, left_id: str, left_t: str, right_idx: str, right_t: str) -> DataFrame:
     """seq, left_id, right_idx and gap: each left row with the nearest right row
     at any distance, ties to the smaller ``right_idx``; none where a sequence has
-    no right rows.
+    no right rows.  Right rows without a time (null, NaN) are no neighbours; a
+    left row without a time, or without neighbours, has a null gap and the
+    smallest ``right_idx``, as in the SQL.
 
-    Both sides are put in one order by time, so each left row sees its neighbours
-    on either side: no pairs are made.
+    Both sides are dealt by range of time and written once.  Each left row sees
+    its neighbours in its range, or else the last one of the ranges before and
+    the first of those after: no pairs are made and no task sees a sequence.
     """
-    once = right.groupBy(seq, F.col(right_t).alias("__t")).agg(F.min(right_idx).alias("__idx")).withColumn("__here", F.struct("__t", "__idx"))
-    none = F.lit(None).cast(once.schema["__here"].dataType.simpleString())
-    rows = left.select(seq, F.col(left_t).alias("__t"), F.col(left_id).alias("__id"), F.lit(1).alias("__side"), none.alias("__here"))
-    marks = once.select(seq, "__t", F.lit(None).cast(left.schema[left_id].dataType).alias("__id"), F.lit(0).alias("__side"), "__here")
-    order = Window.partitionBy(seq).orderBy("__t", "__side")
-    before = F.last("__here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__here", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    seen = rows.unionByName(marks).withColumn("__before", before).withColumn("__after", after).filter("__side = 1")
-    choice = lambda c: F.when(F.col(c).isNotNull(), F.struct(time_difference(F.col("__t"), F.col(c)["__t"]).alias("gap"), F.col(c)["__idx"].alias("idx")))
-    best = F.least(choice("__before"), choice("__after"))
-    found = seen.withColumn("__best", best).filter("__best is not null")
-    return found.select(seq, F.col("__id").alias(left_id), F.col("__best")["idx"].alias(right_idx), F.col("__best")["gap"].alias("gap"))
+    spark = left.sparkSession
+    known = lambda t: F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))
+    once = right.groupBy(seq, F.col(right_t).alias("__t")).agg(F.min(right_idx).alias("__idx"))
+    rows = left.select(seq, F.col(left_t).alias("__t"), F.col(left_id).alias("__id"), F.lit(1).alias("__side"), F.lit(None).cast(once.schema["__idx"].dataType).alias("__idx"))
+    marks = once.select(seq, "__t", F.lit(None).cast(left.schema[left_id].dataType).alias("__id"), F.lit(0).alias("__side"), "__idx")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.unionByName(marks).repartitionByRange(parts, seq, "__t", "__side", "__id").withColumn("__part", F.spark_partition_id())
+    dealt = saved(dealt, "stretches").withColumn("__here", F.when((F.col("__side") == 0) & known("__t"), F.struct("__t", "__idx")))
+
+    own, upto = Window.partitionBy("__part", seq), (Window.unboundedPreceding, Window.currentRow)
+    here = F.last("__here", ignorenulls=True)  # a frame to the end would be read again for each row
+    seen = dealt.withColumn("__before", here.over(own.orderBy("__t", "__side").rowsBetween(*upto)))
+    seen = seen.withColumn("__after", here.over(own.orderBy(F.desc("__t"), "__side").rowsBetween(*upto))).filter("__side = 1")
+    ends = dealt.groupBy("__part", seq).agg(F.min("__here").alias("__first"), F.max("__here").alias("__last"), F.min("__idx").alias("__least"))
+    order = Window.partitionBy(seq).orderBy("__part")
+    carried = ends.select(
+        F.col("__part"), seq,
+        F.last("__last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        F.last("__first", ignorenulls=True).over(Window.partitionBy(seq).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__later"),
+        F.min("__least").over(Window.partitionBy(seq)).alias("__least"),
+    )
+    gap = lambda c: F.struct(time_difference(F.col("__t"), c["__t"]).alias("gap"), c["__idx"].alias("idx"))
+    choice = lambda c: F.when(c.isNotNull() & known("__t"), gap(c))
+    best = F.least(*[choice(F.coalesce(*map(F.col, c))) for c in (("__before", "__earlier"), ("__after", "__later"))])
+    found = seen.drop("__idx").join(carried, ["__part", seq]).withColumn("__best", best).filter("__best is not null or __least is not null")
+    return found.select(seq, F.col("__id").alias(left_id), F.coalesce(F.col("__best")["idx"], F.col("__least")).alias(right_idx), F.col("__best")["gap"].alias("gap"))
 
 
 def ordered_matching(a: np.ndarray, b: np.ndarray, width: float) -> list[tuple[int, int]]:
