@@ -49,6 +49,15 @@ def test_odd_entries(spark):
     assert both_ways(spark, rgb, [], "double", 1.0, 2) == ([], [])
 
 
+def test_repeated_entries_count_once(spark, monkeypatch):
+    rgb, depth = [("s", k, 10 + k) for k in (1, 1, 2, 1, 5)], [("s", k, 11 + k) for k in (1, 2, 2, 9)]
+    found, wanted = both_ways(spark, rgb, depth, "bigint", 3, 2)
+    assert found == wanted == [("s", 1, 2, 2), ("s", 2, 1, 0)]
+    one, two = (spark.createDataFrame(x, s.format("bigint")) for x, s in zip((rgb, depth), SCHEMAS, strict=True))
+    monkeypatch.setattr(assoc, "band_join", lambda *_: pytest.fail("candidates are joined"))
+    assert matched(assoc.match_nearest(one, two, "seq_id", "rgb_idx", "rgb_t", "depth_idx", "depth_t", 3)) == wanted
+
+
 def test_the_query_makes_no_candidates(spark, tmp_path, monkeypatch):
     """1,500 entries a side at one moment: 2,250,000 candidates, 1,500 pairs."""
     at = datetime.datetime(2024, 1, 1, 12)

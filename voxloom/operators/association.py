@@ -183,9 +183,10 @@ def match_nearest(left: DataFrame, right: DataFrame, seq: str, left_idx: str, le
     decides the rest.  A chain of rising differences through a whole sequence
     would leave all its entries, not its candidates, to that round.
 
-    Neighbours decide only where differences are exact.  Indexes that repeat or
-    are null, times that are not BIGINT or DOUBLE, or DOUBLE ones below the width,
-    whose differences are rounded, go by their candidates.
+    Rows that repeat an entry count once.  Neighbours decide only where differences
+    are exact: an index that is null or has several times, times that are not
+    BIGINT or DOUBLE, or DOUBLE ones below the width, whose differences are
+    rounded, go by their candidates.
     """
     if not width >= 0:
         raise ValueError("the width is at least 0")
@@ -199,9 +200,12 @@ def match_nearest(left: DataFrame, right: DataFrame, seq: str, left_idx: str, le
     exact = types[0] == types[1] and types[0]["__idx"] == "bigint" and kind in ("bigint", "double")
     if exact:
         each = entries.groupBy(seq, "__side", "__idx").agg(F.count("*").alias("n"), F.min("__t").alias("low"), F.max("__t").alias("high"))
-        counts = each.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if(F.col("__idx").isNull()).alias("none")).first()
-        n = counts["n"] or 0
-        exact = not n or counts["most"] == 1 and not counts["none"] and (kind == "bigint" or counts["low"] >= width and counts["high"] < math.inf)
+        unclear = F.count_if(F.col("__idx").isNull() | (F.col("low") != F.col("high")))
+        counts = each.agg(F.count("*").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), unclear.alias("unclear")).first()
+        n = counts["n"]
+        exact = not n or not counts["unclear"] and (kind == "bigint" or counts["low"] >= width and counts["high"] < math.inf)
+        if exact and n and counts["most"] > 1:
+            entries = entries.distinct()
     if not exact:
         pairs = band_join(left, right, left_t, right_t, width, [seq])
         pairs = pairs.select(seq, left_idx, right_idx, time_difference(F.col(left_t), F.col(right_t)).alias("difference"))
