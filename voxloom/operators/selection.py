@@ -30,11 +30,11 @@ def ranged_places(df: DataFrame, by: list[str], order: list[Column | str], name:
     local = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)))
     sizes = dealt.groupBy("__part", *by).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    keys = {"__part": "__p"} | {c: f"__of{k}" for k, c in enumerate(by)}
-    starts = sizes.select(*[F.col(c).alias(n) for c, n in keys.items()], F.coalesce(before, F.lit(0)).alias("__start"))
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in keys.items()]
+    keys = {c: f"__of{k}" for k, c in enumerate(by)}
+    starts = sizes.select(F.col("__part").alias("__p"), *[F.col(c).alias(n) for c, n in keys.items()], F.coalesce(before, F.lit(0)).alias("__start"))
+    same = [F.col("__part") == F.col("__p"), *[F.col(c).eqNullSafe(F.col(n)) for c, n in keys.items()]]
     placed = local.join(starts, same).withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("bigint"))
-    return placed.drop(*keys.values(), "__part", "__at", "__start")
+    return placed.drop(*keys.values(), "__p", "__part", "__at", "__start")
 
 
 def every_nth(df: DataFrame, step: int, index: str = "rec_idx") -> DataFrame:
